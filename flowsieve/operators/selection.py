@@ -95,11 +95,13 @@ def mark_first(
     key: Sequence[str] | None,
     seed: int,
     flag: str,
+    copies: bool = False,
 ) -> DataFrame:
     """Add the boolean ``flag``: the first ``want`` rows of each stratum by hash.
 
-    ``key`` names columns which identify a row. Without a key the whole row is
-    hashed; equal rows then tie, and any ``take`` of them give the same table.
+    ``key`` names columns which identify a row, or with ``copies`` columns which
+    agree only in equal rows. Without a key the whole row is hashed. Equal rows
+    tie, and any ``take`` of them give the same table.
     """
     columns = df.columns
     hashed = df.withColumns({STRATUM: stratum, HASH: row_hash(seed, key or columns)})
@@ -110,7 +112,7 @@ def mark_first(
     split_ties = F.col("take") < F.col("ties")
     if cuts.frame.filter(split_ties).isEmpty():
         return joined.select(*plain, (F.col(HASH) <= F.col("cut")).alias(flag))
-    if key:
+    if key and not copies:
         raise ValueError(f"key {list(key)} does not identify a row: equal keys at the threshold")
 
     at_cut = split_ties & (F.col(HASH) == F.col("cut"))

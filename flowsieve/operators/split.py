@@ -45,14 +45,18 @@ def stratified_split(
     test_fraction: float = 0.2,
     seed: int = 42,
     out: str = "split",
+    copies: bool = False,
 ) -> DataFrame:
-    """Add ``out`` = ``train`` or ``test`` with exact quotas in every stratum."""
+    """Add ``out`` = ``train`` or ``test`` with exact quotas in every stratum.
+
+    For ``key`` and ``copies`` see ``mark_first``.
+    """
     column = ref(stratum) if isinstance(stratum, str) else stratum
     sizes = Pinned(group_sizes(df, column))
     single = sizes.frame.filter("n < 2").limit(5).collect()
     if single:
         raise ValueError(f"a stratum needs two rows to be split: {[r[0] for r in single]}")
     quotas = test_quotas(sizes.frame, test_fraction)
-    marked = mark_first(df, column, quotas, key, seed, "_held_out")
+    marked = mark_first(df, column, quotas, key, seed, "_held_out", copies)
     name = F.when(F.col("_held_out"), F.lit(TEST)).otherwise(F.lit(TRAIN))
     return marked.withColumn(out, name).drop("_held_out")
