@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Characters a decimal literal may hold; keeps out the suffixed, hexadecimal and
-# named forms which the JVM parser would accept as numbers.
-NUMERIC_TEXT = r"^[0-9eE+.\s-]+$"
+# Letters no decimal number holds, but which the JVM parser accepts in suffixed,
+# hexadecimal and named numbers.
+FOREIGN_LETTERS = "dDfFxX"
 
 SENTINELS = (" ", "-")
 
@@ -25,52 +27,57 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
 
 
-def to_number(c: Column) -> Column:
-    """Text to DOUBLE; text which is not a finite decimal number becomes NULL."""
-    return F.when(c.rlike(NUMERIC_TEXT), finite(c.try_cast("double")))
+def parsed(c: Column) -> Column:
+    """Text to DOUBLE, NULL where it is no decimal number; NaN may remain."""
+    foreign = reduce(or_, [c.contains(letter) for letter in FOREIGN_LETTERS])
+    return F.when(~foreign, c.try_cast("double"))
 
 
-def numeric_expr(field: T.StructField) -> Column:
-    """Finite DOUBLE form of a column, by its stored type."""
-    c = ref(field.name)
-    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        return finite(c.cast("double"))
-    if isinstance(field.dataType, T.NumericType):
-        return c.cast("double")
-    return to_number(c.cast("string"))
+def to_number(c: Column) -> Column:
+    """Text to DOUBLE; text which is not a finite decimal number becomes NULL."""
+    return finite(parsed(c))
 
 
 def coerce_numeric(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Coerce the named columns which are present, in one projection."""
+    """Coerce the named columns which are present to finite DOUBLE."""
     wanted = set(columns)
-    return df.select(
-        *[
-            numeric_expr(f).alias(f.name) if f.name in wanted else ref(f.name)
-            for f in df.schema.fields
-        ]
-    )
+
+    def coerced(field: T.StructField) -> Column:
+        c = ref(field.name)
+        if field.name not in wanted:
+            return c
+        if isinstance(field.dataType, T.NumericType):
+            return c.cast("double").alias(field.name)
+        return parsed(c.cast("string")).alias(field.name)
+
+    # Two projections: the parsed value is computed once and then tested.
+    return infinite_to_null(df.select(*[coerced(f) for f in df.schema.fields]), wanted)
 
 
-def infinite_to_null(df: DataFrame) -> DataFrame:
-    """NaN and infinities of every floating column become NULL."""
+def infinite_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """NaN and infinities of floating columns, all or the named ones, become NULL."""
+    wanted = set(df.columns if columns is None else columns)
     floating = (T.DoubleType, T.FloatType)
     return df.select(
         *[
             finite(ref(f.name)).alias(f.name)
-            if isinstance(f.dataType, floating)
+            if f.name in wanted and isinstance(f.dataType, floating)
             else ref(f.name)
             for f in df.schema.fields
         ]
     )
 
 
-def sentinels_to_null(df: DataFrame, tokens: Iterable[str] = SENTINELS) -> DataFrame:
-    """String cells equal to one of ``tokens`` become NULL."""
+def sentinels_to_null(
+    df: DataFrame, tokens: Iterable[str] = SENTINELS, columns: Iterable[str] | None = None
+) -> DataFrame:
+    """String cells equal to one of ``tokens`` become NULL, in all or the named columns."""
     tokens = list(tokens)
+    wanted = set(df.columns if columns is None else columns)
     return df.select(
         *[
             F.when(~ref(f.name).isin(tokens), ref(f.name)).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
+            if f.name in wanted and isinstance(f.dataType, T.StringType)
             else ref(f.name)
             for f in df.schema.fields
         ]

@@ -20,7 +20,7 @@ from flowsieve.functions.columns import ref
 from flowsieve.functions.hashing import row_hash
 from flowsieve.operators.quantiles import quantiles
 from flowsieve.operators.selection import take_n
-from flowsieve.session import stage
+from flowsieve.session import local_frame, stage
 
 TREES = 100
 SAMPLE_ROWS = 256
@@ -170,7 +170,7 @@ class IsolationForest:
     def save(self, spark: SparkSession, path: str) -> None:
         meta = F.lit(self.offset).cast("double").alias("offset")
         names = F.array(*[F.lit(f) for f in self.features]).alias("features")
-        frame = spark.createDataFrame(list(self.nodes), NODES)
+        frame = local_frame(spark, list(self.nodes), NODES)
         frame.select("*", F.lit(self.rows).alias("rows"), meta, names).coalesce(1).write.mode(
             "overwrite"
         ).parquet(path)

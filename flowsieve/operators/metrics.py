@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import ref
-from flowsieve.session import Pinned
+from flowsieve.session import Pinned, local_frame
 
 ACTUAL, PREDICTED = "actual", "predicted"
 METRIC_SCHEMA = (
@@ -43,7 +43,7 @@ def pairs_of(confusion: Sequence[Sequence[int]], classes: Sequence, spark) -> Da
         for j, p in enumerate(classes)
     ]
     kind = "int" if isinstance(classes[0], int) else "string"
-    return spark.createDataFrame(rows, f"{ACTUAL} {kind}, {PREDICTED} {kind}, n bigint")
+    return local_frame(spark, rows, f"{ACTUAL} {kind}, {PREDICTED} {kind}, n bigint")
 
 
 def seen_classes(pairs: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def constant_rows(
         (experiment, model, split, "", k, float(v) if v is not None else math.nan)
         for k, v in values.items()
     ]
-    return spark.createDataFrame(rows, METRIC_SCHEMA)
+    return local_frame(spark, rows, METRIC_SCHEMA)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

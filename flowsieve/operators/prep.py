@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import numeric_columns, ref
 from flowsieve.operators.quantiles import quantiles
+from flowsieve.session import local_frame
 
 QUARTILES = (0.25, 0.5, 0.75)
 # A spread below this counts as constant and is divided by one.
@@ -80,20 +81,22 @@ class FeaturePrep:
     def fit(
         cls, train: DataFrame, columns: Sequence[str] | None = None, method: str = "auto"
     ) -> FeaturePrep:
-        """One pass, and a second one over only the columns which need imputation.
+        """Quartiles of all columns, then once more of those which need imputation.
 
         A column without a single value in training has no median: it is listed
         in ``empty`` and left out by ``transform``.
         """
         columns = list(columns if columns is not None else numeric_columns(train))
-        quarters = quantiles(train, columns, QUARTILES, method)
-        empty = [c for c in columns if quarters[c][1] is None]
-        median = {c: quarters[c][1] for c in columns if c not in empty}
-        has_null = any_null(train, list(median)).first().asDict() if median else {}
-        imputed = [c for c in median if has_null[c]]
-        if imputed:
-            filled = train.select(*[F.coalesce(ref(c), F.lit(median[c])).alias(c) for c in imputed])
-            quarters.update(quantiles(filled, imputed, QUARTILES, method))
+        counted = train.agg(F.count(F.lit(1)), *[F.count(ref(c)) for c in columns]).first()
+        rows, filled = counted[0], dict(zip(columns, counted[1:]))
+        present = [c for c in columns if filled[c]]
+        quarters = quantiles(train, present, QUARTILES, method, rows)
+        median = {c: quarters[c][1] for c in present}
+        holed = [c for c in present if filled[c] < rows]
+        if holed:
+            imputed = [F.coalesce(ref(c), F.lit(median[c])).alias(c) for c in holed]
+            quarters.update(quantiles(train.select(*imputed), holed, QUARTILES, method, rows))
+        empty = [c for c in columns if not filled[c]]
         spread = {c: quarters[c][2] - quarters[c][0] for c in median}
         return cls(
             median,
@@ -132,7 +135,7 @@ class FeaturePrep:
             for i, c in enumerate(self.median)
         ] + [(-1, c, None, None, None) for c in self.empty]
         schema = "position int, feature string, median double, center double, spread double"
-        return spark.createDataFrame(rows, schema)
+        return local_frame(spark, rows, schema)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.to_frame(spark).coalesce(1).write.mode("overwrite").parquet(path)

@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import ref
+from flowsieve.session import local_frame
 
-# Values (rows times columns) up to which one value-to-count map per column fits a task.
-MAP_VALUES = 20_000_000
+# Entries of all value-to-count maps together which fit the memory of one task.
+MAP_ENTRIES = 2_000_000
+# Relative error of the distinct counts which size the maps.
+DISTINCT_ERROR = 0.2
 ACCURACY = 10_000
 # Values left between the bounds of one target before they are ranked.
-BRACKET_ROWS = 500_000
+BRACKET_ROWS = 50_000
 
 
 @dataclass
@@ -34,21 +37,29 @@ class _Target:
 
 
 def quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], method: str = "auto"
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    method: str = "auto",
+    rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of the non-null values of each column.
 
     ``exact`` counts values in one map per column, ``bracket`` narrows bounds
     with sketches and ranks only the values between them (exact too), ``approx``
-    takes the sketch itself. ``auto`` picks one of the two exact ways by size.
+    takes the sketch itself. ``auto`` stays exact: columns of few distinct
+    values go by maps, whatever their rows, the others by brackets. ``rows``
+    saves it from counting a small table.
     """
-    if not columns:
-        return {}
+    columns = list(columns)
     if method == "auto":
-        small = df.count() * len(columns) <= MAP_VALUES
-        method = "exact" if small else "bracket"
+        mapped = _mappable(df, columns, rows)
+        bracketed = [c for c in columns if c not in mapped]
+        return quantiles(df, mapped, probs, "exact") | _bracketed(df, bracketed, probs)
     if method == "bracket":
         return _bracketed(df, columns, probs)
+    if not columns:
+        return {}
     points = F.array(*[F.lit(float(p)) for p in probs])
     if method == "exact":
         aggregates = [F.percentile(ref(c).cast("double"), points) for c in columns]
@@ -63,7 +74,27 @@ def quantiles(
     return {c: list(v) if v is not None else [None] * len(probs) for c, v in zip(columns, row)}
 
 
-def _bracketed(df, columns, probs):
+def _mappable(df: DataFrame, columns: list[str], rows: int | None) -> list[str]:
+    """Columns, fewest distinct values first, whose maps fit together."""
+    if rows is not None and rows * len(columns) <= MAP_ENTRIES:
+        return columns
+    if not columns:
+        return []
+    distinct = df.agg(*[F.approx_count_distinct(ref(c), DISTINCT_ERROR) for c in columns]).first()
+    fitting, entries = [], 0
+    for values, c in sorted(zip(distinct, columns)):
+        entries += values
+        if entries > MAP_ENTRIES:
+            break
+        fitting.append(c)
+    return fitting
+
+
+def _bracketed(
+    df: DataFrame, columns: list[str], probs: Sequence[float]
+) -> dict[str, list[float | None]]:
+    if not columns:
+        return {}
     base = df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     names = {c: f"c{i}" for i, c in enumerate(columns)}
     stats = base.agg(
@@ -144,7 +175,8 @@ def _ranked_values(base: DataFrame, targets: list[_Target]) -> dict[int, tuple[f
         return {}
     spark = base.sparkSession
     ranks = F.broadcast(
-        spark.createDataFrame(
+        local_frame(
+        spark,
             [(i, t.rank - t.below, min(t.rank + 1, t.rows - 1) - t.below)
              for i, t in enumerate(targets)],
             "target int, first bigint, second bigint",

@@ -10,7 +10,7 @@ costs, and the selection itself is a comparison with a broadcast threshold.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,10 +19,11 @@ from flowsieve.functions.columns import ref
 from flowsieve.functions.hashing import row_hash
 from flowsieve.session import Pinned
 
-HASH_DIGITS = 32
+# A hash has 32 digits; a stored order may add 16 digits of a row number to it.
+HASH_DIGITS = 48
 STEP_DIGITS = 3
 # Below this many rows under one prefix the remaining digits are read at once.
-FINE_ROWS = 200_000
+FINE_ROWS = 50_000
 # Copies of one row written by a single task when a threshold falls among copies.
 COPY_CHUNK = 100_000
 
@@ -30,50 +31,62 @@ STRATUM, HASH = "_stratum", "_hash"
 ALL, NONE = "g", ""  # sort after and before every hexadecimal text
 
 
-def group_sizes(df: DataFrame, stratum: Column) -> DataFrame:
-    return df.groupBy(stratum.alias(STRATUM)).agg(F.count(F.lit(1)).alias("n"))
+def stored_order(seed: int, row_id: Sequence[str]) -> Column:
+    """Distinct hash text for a table about to be written.
 
+    Copies of a row get consecutive texts by a row number which the written
+    table fixes; which copy comes first does not change any selection.
+    """
+    number = F.lpad(F.lower(F.hex(F.monotonically_increasing_id())), 16, "0")
+    return F.concat(row_hash(seed, row_id), number)
+
+
+Quota = Callable[[DataFrame], DataFrame]
 
-def find_thresholds(rows: DataFrame, quotas: DataFrame) -> Pinned:
+
+def find_thresholds(rows: DataFrame, quota: Quota) -> Pinned:
     """Threshold hash of each stratum.
 
-    ``rows`` holds (stratum, hash) and ``quotas`` (stratum, n, want). The result
-    holds (stratum, cut, take, ties): rows with a hash below ``cut`` are taken,
-    and ``take`` of the ``ties`` rows at ``cut``.
+    ``rows`` holds (stratum, hash); ``quota`` turns the sizes (stratum, n) into
+    (stratum, n, want). The result holds (stratum, cut, take, ties): rows with a
+    hash below ``cut`` are taken, and ``take`` of the ``ties`` rows at ``cut``.
     """
-    quotas = Pinned(quotas)
-    whole = quotas.frame.filter((F.col("want") <= 0) | (F.col("want") >= F.col("n"))).select(
-        STRATUM,
-        F.when(F.col("want") <= 0, F.lit(NONE)).otherwise(F.lit(ALL)).alias("cut"),
-        F.lit(0).cast("bigint").alias("take"),
-        F.lit(0).cast("bigint").alias("ties"),
-    )
-    open_ = Pinned(
-        quotas.frame.filter((F.col("want") > 0) & (F.col("want") < F.col("n"))).select(
-            STRATUM, F.lit("").alias("cut"), F.col("want").alias("take"), F.col("n").alias("ties")
-        )
+    # The sizes and the first cut come from one pass over the rows.
+    counts = _prefix_counts(rows, [], STEP_DIGITS).persist()
+    sizes = counts.groupBy(STRATUM).agg(F.sum("rows").alias("n"))
+    quotas = Pinned(quota(sizes))
+    open_ = quotas.side.filter((F.col("want") > 0) & (F.col("want") < F.col("n"))).select(
+        F.col(STRATUM).alias("_s"), F.col("want").alias("take")
     )
-    width = 0
+    state = Pinned(_cut(counts.join(open_, counts[STRATUM].eqNullSafe(F.col("_s"))).drop("_s")))
+    counts.unpersist()
+    width = STEP_DIGITS
     while width < HASH_DIGITS:
-        largest = open_.frame.agg(F.max("ties")).first()[0]
+        largest = state.highest("ties")
         if largest is None:
             break
-        step = HASH_DIGITS if largest <= FINE_ROWS else width + STEP_DIGITS
-        width, before = min(step, HASH_DIGITS), width
-        open_ = Pinned(_narrow(rows, open_, before, width))
-    return Pinned(whole.unionByName(open_.frame))
+        before, width = width, HASH_DIGITS if largest <= FINE_ROWS else width + STEP_DIGITS
+        state = Pinned(_narrow(rows, state, before, width))
+    found = state.side.select(F.col(STRATUM).alias("_s"), "cut", "take", "ties")
+    whole = F.when(F.col("want") <= 0, F.lit(NONE)).otherwise(F.lit(ALL))
+    return Pinned(
+        quotas.frame.join(found, F.col(STRATUM).eqNullSafe(F.col("_s")), "left").select(
+            STRATUM,
+            F.coalesce("cut", whole).alias("cut"),
+            F.coalesce("take", F.lit(0)).alias("take"),
+            F.coalesce("ties", F.lit(0)).alias("ties"),
+        )
+    )
 
 
-def _narrow(rows: DataFrame, open_: Pinned, width: int, next_width: int) -> DataFrame:
-    state = open_.side.select(F.col(STRATUM).alias("_s"), "cut", "take")
-    under = rows[STRATUM].eqNullSafe(state["_s"])
-    if width:
-        under &= F.substring(rows[HASH], 1, width) == state["cut"]
-    counts = (
-        rows.join(state, under)
-        .groupBy(STRATUM, "take", F.substring(HASH, 1, next_width).alias("prefix"))
-        .agg(F.count(F.lit(1)).alias("rows"))
+def _prefix_counts(rows: DataFrame, keep: Sequence[str], width: int) -> DataFrame:
+    return rows.groupBy(STRATUM, *keep, F.substring(HASH, 1, width).alias("prefix")).agg(
+        F.count(F.lit(1)).alias("rows")
     )
+
+
+def _cut(counts: DataFrame) -> DataFrame:
+    """The prefix of each stratum under which the row number ``take`` lies."""
     # At most 16**STEP_DIGITS prefixes, or FINE_ROWS hashes, of one stratum.
     running = Window.partitionBy(STRATUM).orderBy("prefix")
     return (
@@ -88,32 +101,43 @@ def _narrow(rows: DataFrame, open_: Pinned, width: int, next_width: int) -> Data
     )
 
 
+def _narrow(rows: DataFrame, open_: Pinned, width: int, next_width: int) -> DataFrame:
+    state = open_.side.select(F.col(STRATUM).alias("_s"), "cut", "take")
+    under = rows[STRATUM].eqNullSafe(state["_s"]) & (
+        F.substring(rows[HASH], 1, width) == state["cut"]
+    )
+    return _cut(_prefix_counts(rows.join(state, under), ["take"], next_width))
+
+
 def mark_first(
     df: DataFrame,
     stratum: Column,
-    quotas: DataFrame,
+    quota: Quota,
     key: Sequence[str] | None,
     seed: int,
     flag: str,
     copies: bool = False,
+    order: str | None = None,
 ) -> DataFrame:
     """Add the boolean ``flag``: the first ``want`` rows of each stratum by hash.
 
     ``key`` names columns which identify a row, or with ``copies`` columns which
     agree only in equal rows. Without a key the whole row is hashed. Equal rows
-    tie, and any ``take`` of them give the same table.
+    tie, and any ``take`` of them give the same table. ``order`` names a column
+    which already holds a distinct hash text for every row.
     """
     columns = df.columns
-    hashed = df.withColumns({STRATUM: stratum, HASH: row_hash(seed, key or columns)})
-    cuts = find_thresholds(hashed.select(STRATUM, HASH), quotas)
+    hashing = ref(order) if order else row_hash(seed, key or columns)
+    hashed = df.withColumns({STRATUM: stratum, HASH: hashing})
+    cuts = find_thresholds(hashed.select(STRATUM, HASH), quota)
     side = cuts.side.select(F.col(STRATUM).alias("_s"), "cut", "take", "ties")
     joined = hashed.join(side, hashed[STRATUM].eqNullSafe(side["_s"]), "left")
     plain = [ref(c) for c in columns]
     split_ties = F.col("take") < F.col("ties")
-    if cuts.frame.filter(split_ties).isEmpty():
+    if not cuts.any(split_ties):
         return joined.select(*plain, (F.col(HASH) <= F.col("cut")).alias(flag))
-    if key and not copies:
-        raise ValueError(f"key {list(key)} does not identify a row: equal keys at the threshold")
+    if order or (key and not copies):
+        raise ValueError(f"{order or list(key)} does not identify a row: equal keys at the threshold")
 
     at_cut = split_ties & (F.col(HASH) == F.col("cut"))
     clear = joined.filter(~F.coalesce(at_cut, F.lit(False))).select(
@@ -154,11 +178,12 @@ def take_n(
     """Exactly ``min(n, size)`` of the rows matching ``where``; all other rows stay."""
     flag = "_taken"
     inside = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    sizes = group_sizes(df, inside)
-    quotas = sizes.withColumn(
-        "want", F.when(F.col(STRATUM), F.least(F.col("n"), F.lit(n))).otherwise(F.col("n"))
-    )
-    return mark_first(df, inside, quotas, key, seed, flag).filter(F.col(flag)).drop(flag)
+
+    def quota(sizes: DataFrame) -> DataFrame:
+        wanted = F.when(F.col(STRATUM), F.least(F.col("n"), F.lit(n))).otherwise(F.col("n"))
+        return sizes.withColumn("want", wanted)
+
+    return mark_first(df, inside, quota, key, seed, flag).filter(F.col(flag)).drop(flag)
 
 
 def ordinals(

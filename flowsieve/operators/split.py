@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import ref
-from flowsieve.operators.selection import STRATUM, group_sizes, mark_first
+from flowsieve.operators.selection import STRATUM, mark_first
 from flowsieve.session import Pinned
 
 TRAIN, TEST = "train", "test"
@@ -46,17 +46,21 @@ def stratified_split(
     seed: int = 42,
     out: str = "split",
     copies: bool = False,
+    order: str | None = None,
 ) -> DataFrame:
     """Add ``out`` = ``train`` or ``test`` with exact quotas in every stratum.
 
-    For ``key`` and ``copies`` see ``mark_first``.
+    For ``key``, ``copies`` and ``order`` see ``mark_first``.
     """
     column = ref(stratum) if isinstance(stratum, str) else stratum
-    sizes = Pinned(group_sizes(df, column))
-    single = sizes.frame.filter("n < 2").limit(5).collect()
-    if single:
-        raise ValueError(f"a stratum needs two rows to be split: {[r[0] for r in single]}")
-    quotas = test_quotas(sizes.frame, test_fraction)
-    marked = mark_first(df, column, quotas, key, seed, "_held_out", copies)
+
+    def quota(sizes: DataFrame) -> DataFrame:
+        sizes = Pinned(sizes).frame
+        single = sizes.filter("n < 2").limit(5).collect()
+        if single:
+            raise ValueError(f"a stratum needs two rows to be split: {[r[0] for r in single]}")
+        return test_quotas(sizes, test_fraction)
+
+    marked = mark_first(df, column, quota, key, seed, "_held_out", copies, order)
     name = F.when(F.col("_held_out"), F.lit(TEST)).otherwise(F.lit(TRAIN))
     return marked.withColumn(out, name).drop("_held_out")

@@ -12,7 +12,6 @@ from flowsieve.functions.columns import (
     coerce_numeric,
     drop_columns,
     feature_columns,
-    infinite_to_null,
     ref,
     rename_select,
     scale_units,
@@ -31,9 +30,10 @@ from flowsieve.functions.labels import (
 )
 from flowsieve.operators.classes import class_dictionary, encode
 from flowsieve.operators.prep import FeaturePrep, OneHot
+from flowsieve.operators.selection import stored_order
 from flowsieve.operators.split import TEST, TRAIN, stratified_split
-from flowsieve.session import scratch_path
-from flowsieve.sources.tables import read_split, write_splits
+from flowsieve.session import stage
+from flowsieve.sources.tables import write_splits
 
 # Fixed values of the two flow datasets.
 CIC_LEAKY = (
@@ -41,6 +41,7 @@ CIC_LEAKY = (
 )
 UNSW_LEAKY = ("srcip", "sport", "dstip", "dsport", "Stime", "Ltime")
 UNSW_CATEGORICAL = ("proto", "state", "service")
+UNSW_TEXT = (*UNSW_CATEGORICAL, "attack_cat")
 SHARED_FEATURES = (
     "duration", "src_packets", "dst_packets", "src_bytes", "dst_bytes",
     "src_mean_packet_sz", "dst_mean_packet_sz", "src_iat_mean", "dst_iat_mean",
@@ -67,7 +68,7 @@ UNSW_SHARED = dict(
 # Seconds and milliseconds to microseconds.
 UNSW_UNITS = {"duration": 1e6, "src_iat_mean": 1e3, "dst_iat_mean": 1e3}
 
-ROW_ID = "_row_id"
+ROW_ID, ORDER = "_row_id", "_order"
 
 
 @dataclass(frozen=True)
@@ -115,18 +116,17 @@ def fit_and_scale(
     """Split, then fit one-hot, medians and scaling on the training rows only.
 
     ``key`` identifies a row; otherwise ``_row_id`` or the whole row does. The
-    split table is written once, so that no fitting pass repeats the cleaning
-    and a pass over the training rows reads only their files.
+    clean table is written once with its hash order, so that no later pass
+    parses or hashes again; split, imputation and scaling stay narrow
+    expressions over it.
     """
-    spark = clean.sparkSession
-    if key is None and ROW_ID in clean.columns:
-        marked = stratified_split(clean, stratum, [ROW_ID], seed=seed, copies=True)
+    if key is not None:
+        order = row_hash(seed, key)
     else:
-        marked = stratified_split(clean, stratum, key, seed=seed)
-    path = scratch_path(spark, "split")
-    write_splits(drop_columns(marked, [ROW_ID]), path)
-    train = read_split(spark, path, TRAIN)
-    table = spark.read.parquet(path)
+        order = stored_order(seed, [ROW_ID] if ROW_ID in clean.columns else clean.columns)
+    staged = stage(drop_columns(clean.withColumn(ORDER, order), [ROW_ID]), "clean")
+    table = stratified_split(staged, stratum, seed=seed, order=ORDER).drop(ORDER)
+    train = table.filter(F.col("split") == TRAIN).drop("split")
 
     one_hot = None
     if categorical:
@@ -169,7 +169,9 @@ def unsw(raw: DataFrame, **options) -> Prepared:
     named = drop_columns(with_row_id(raw), UNSW_LEAKY).withColumn(
         "attack_cat", filled_label(F.col("attack_cat"), NORMAL)
     )
-    clean = _numeric_but(sentinels_to_null(named), [*UNSW_CATEGORICAL, "attack_cat", ROW_ID])
+    # A sentinel in a numeric column is no number: only text columns need the test.
+    text = sentinels_to_null(named, columns=UNSW_TEXT)
+    clean = _numeric_but(text, [*UNSW_TEXT, ROW_ID])
     clean = clean.withColumns(
         {"multiclass_label": F.col("attack_cat"), "_binary": F.col("Label").cast("int")}
     )
@@ -191,13 +193,12 @@ def cic_shared(raw_with_spaces: DataFrame) -> DataFrame:
 
 def unsw_shared(raw: DataFrame) -> DataFrame:
     """Headerless flows in the shared schema, in its units."""
-    mapped = sentinels_to_null(rename_select(raw, UNSW_SHARED, strict=True))
-    numbers = _numeric_but(mapped, [])
+    numbers = _numeric_but(rename_select(raw, UNSW_SHARED, strict=True), [])
     return scale_units(numbers, UNSW_UNITS).withColumn("is_attack", F.col("is_attack").cast("int"))
 
 
 def _numeric_but(df: DataFrame, text: Sequence[str]) -> DataFrame:
-    return infinite_to_null(coerce_numeric(df, feature_columns(df, text)))
+    return coerce_numeric(df, feature_columns(df, text))
 
 
 def shared_columns(df: DataFrame) -> list[str]:

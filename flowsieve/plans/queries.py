@@ -33,7 +33,7 @@ from flowsieve.plans.experiments import (
     report_rows,
     transfer,
 )
-from flowsieve.session import scratch_path
+from flowsieve.session import local_frame, scratch_path, stage
 from flowsieve.sources import flows_csv, standins, tables
 from flowsieve.sources.standins import LINEITEM_KEY, VECTOR, table
 
@@ -458,12 +458,13 @@ LINEITEM_SPLIT = O.split_ctes(
 
 
 def _lineitem_split(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").drop("l_shipdate")
+    items = table(spark, sf_dir, "lineitem").select(*LINEITEM_KEY, *NUMERIC, "l_returnflag")
     return stratified_split(items, "l_returnflag", LINEITEM_KEY)
 
 
 def _quantile_frame(spark, found: dict, names) -> DataFrame:
-    return spark.createDataFrame(
+    return local_frame(
+        spark,
         [(c, *values) for c, values in found.items()],
         "feature string, " + ", ".join(f"{n} double" for n in names),
     )
@@ -472,7 +473,8 @@ def _quantile_frame(spark, found: dict, names) -> DataFrame:
 @query(f"WITH {LINEITEM_SPLIT} " + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, round(median({c}), 6) AS median FROM marked WHERE split = 'train'" for c in NUMERIC))
 def train_medians(spark, sf_dir):
-    train = _lineitem_split(spark, sf_dir).filter(F.col("split") == TRAIN)
+    train = stage(_lineitem_split(spark, sf_dir).select(*NUMERIC, "split"), "marked")
+    train = train.filter(F.col("split") == TRAIN)
     found = quantiles(train, NUMERIC, [0.5])
     return rounded(_quantile_frame(spark, found, ["median"]), ["median"])
 
@@ -481,7 +483,8 @@ def train_medians(spark, sf_dir):
     f"""SELECT '{c}' AS feature, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50,
     round(quantile_cont({c}, 0.75), 6) AS q75 FROM marked WHERE split = 'train'""" for c in NUMERIC))
 def train_quartiles(spark, sf_dir):
-    train = _lineitem_split(spark, sf_dir).filter(F.col("split") == TRAIN)
+    train = stage(_lineitem_split(spark, sf_dir).select(*NUMERIC, "split"), "marked")
+    train = train.filter(F.col("split") == TRAIN)
     found = quantiles(train, NUMERIC, prep.QUARTILES, method="bracket")
     return rounded(_quantile_frame(spark, found, ["q25", "q50", "q75"]), ["q25", "q50", "q75"])
 
@@ -643,6 +646,7 @@ HOLED = ("price", "customer", "constant")
 
 def _holed(spark, sf_dir):
     marked = stratified_split(standins.holed_orders(spark, sf_dir), "o_orderstatus", ["o_orderkey"])
+    marked = stage(marked, "marked")
     train = marked.filter(F.col("split") == TRAIN)
     return marked, prep.FeaturePrep.fit(train, [*HOLED, "empty"])
 
@@ -762,7 +766,7 @@ CIC_BINARY = O.split_ctes(
 @query(f"""WITH {CIC_BINARY}, {O.scaled_ctes(O.CIC_FEATURES, ['split', 'is_attack'])}
   SELECT split, is_attack, count(*) AS n, {CIC_SUMS} FROM scaled GROUP BY ALL""")
 def prepare_cic_binary(spark, sf_dir):
-    raw = flows_csv.scan_headered(spark, _write_cic(spark, sf_dir))
+    raw = flows_csv.scan_headered(spark, _write_cic(spark, sf_dir), text=["label"])
     return _split_summary(prepare.cic_binary(raw), "is_attack")
 
 
@@ -775,7 +779,7 @@ CIC_MULTI = O.split_ctes(
 @query(f"""WITH {CIC_MULTI}, {O.scaled_ctes(O.CIC_FEATURES, ['split', 'multiclass_label'])}
   SELECT split, multiclass_label, count(*) AS n, {CIC_SUMS} FROM scaled GROUP BY ALL""")
 def prepare_cic_multiclass(spark, sf_dir):
-    raw = flows_csv.scan_headered(spark, _write_cic(spark, sf_dir))
+    raw = flows_csv.scan_headered(spark, _write_cic(spark, sf_dir), text=["label"])
     return _split_summary(prepare.cic_multiclass(raw), "multiclass_label")
 
 
@@ -797,7 +801,7 @@ UNSW_FEATURES = [*UNSW_NUMBERS, *UNSW_FLAG_NAMES]
   SELECT split, multiclass_label, count(*) AS n, {', '.join(f'round(avg("{c}"), 6) AS "{c}"' for c in UNSW_FEATURES)}
   FROM scaled GROUP BY ALL""")
 def prepare_unsw(spark, sf_dir):
-    raw = flows_csv.scan_headerless(spark, _write_unsw(spark, sf_dir))
+    raw = flows_csv.scan_headerless(spark, _write_unsw(spark, sf_dir), text=prepare.UNSW_TEXT)
     return _split_summary(prepare.unsw(raw), "multiclass_label")
 
 

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A frame of at most this many rows may be pinned on the driver and broadcast.
 SMALL_ROWS = 20_000
+# Tables below this size gain nothing from more tasks.
+DEAL_ROWS = 20_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -35,11 +42,49 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Compile wide projections as methods the JVM will optimise.
+
+    One method for hundreds of column expressions stays interpreted; with this
+    limit Spark splits it. The session gets its own value back.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame once and read it back: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Write a frame once and read it back: cuts lineage, survives lost executors.
+
+    A table which came out of fewer tasks than there are cores is dealt out
+    evenly; a large one is read by many tasks as it is.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with small_methods(spark):
+        df.write.parquet(path)
+    staged = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    tasks = staged.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    used, rows = tasks.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if rows < DEAL_ROWS or used >= cores:
+        return staged
+    staged.repartition(cores).write.parquet(f"{path}-dealt")
+    return spark.read.parquet(f"{path}-dealt")
+
+
+def local_frame(spark: SparkSession, rows: Sequence[Sequence], schema: str | T.StructType) -> DataFrame:
+    """A few driver rows as a frame the JVM holds itself: reading it starts no Python worker."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
 
 
 class Pinned:
@@ -52,11 +97,12 @@ class Pinned:
 
     def __init__(self, df: DataFrame, limit: int = SMALL_ROWS):
         spark = df.sparkSession
-        rows = df.limit(limit + 1).collect()
+        bounded = df.limit(limit + 1).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+        rows = bounded.first()[0]
         self.rows: list[Row] | None = None
         if len(rows) <= limit:
             self.rows = rows
-            self.frame = spark.createDataFrame(rows, df.schema)
+            self.frame = local_frame(spark, rows, df.schema)
             self.side = F.broadcast(self.frame)
         else:
             work_dir(spark)
@@ -66,3 +112,12 @@ class Pinned:
     @property
     def small(self) -> bool:
         return self.rows is not None
+
+    def highest(self, column: str):
+        """Largest value of a column, None without rows."""
+        if self.rows is not None:
+            return max((r[column] for r in self.rows), default=None)
+        return self.frame.agg(F.max(column)).first()[0]
+
+    def any(self, condition: Column) -> bool:
+        return not self.frame.filter(condition).isEmpty()

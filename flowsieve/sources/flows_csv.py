@@ -7,10 +7,9 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.functions.columns import normalise_name, ref
+from flowsieve.functions.columns import normalise_name, ref, sentinels_to_null
 
 # Cell texts which stand for a missing value in the raw files.
 MISSING_TOKENS = (
@@ -32,9 +31,9 @@ UNSW_COLUMNS = (
 HEADER_READERS = 16
 
 
-def missing_to_null(df: DataFrame) -> DataFrame:
-    tokens = list(MISSING_TOKENS)
-    return df.select(*[F.when(~ref(c).isin(tokens), ref(c)).alias(c) for c in df.columns])
+def missing_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Cells which stand for a missing value become NULL, in all or the named columns."""
+    return sentinels_to_null(df, MISSING_TOKENS, columns)
 
 
 def text_schema(names: Sequence[str]) -> T.StructType:
@@ -74,13 +73,15 @@ def scan_headered(
     path_glob: str,
     keep_spaces: bool = False,
     columns: Sequence[str] | None = None,
+    text: Sequence[str] | None = None,
 ) -> DataFrame:
     """All files of a glob as one all-text table, joined by column name.
 
     Files are grouped by their header, so the plan has one scan per distinct
     header and not one per file. Names are normalised before the union; a
     column a file lacks is NULL there. ``columns`` keeps only the named ones
-    which some file has.
+    which some file has. Missing-value cells become NULL in all columns, or only
+    in the ``text`` ones where the rest is parsed as numbers anyway.
     """
     files = list_files(spark, path_glob)
     if not files:
@@ -103,17 +104,23 @@ def scan_headered(
         df = df.toDF(*names)
         if columns is not None:
             df = df.select(*[ref(c) for c in columns if c in names])
-        parts.append(missing_to_null(df))
+        parts.append(missing_to_null(df, text))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def scan_headerless(
-    spark: SparkSession, paths: Sequence[str] | str, names: Sequence[str] = UNSW_COLUMNS
+    spark: SparkSession,
+    paths: Sequence[str] | str,
+    names: Sequence[str] = UNSW_COLUMNS,
+    text: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Headerless files with a fixed column list as one all-text table."""
+    """Headerless files with a fixed column list as one all-text table.
+
+    For ``text`` see ``scan_headered``.
+    """
     df = (
         spark.read.schema(text_schema(names))
         .option("encoding", ENCODING)
         .csv(paths if isinstance(paths, str) else list(paths), header=False)
     )
-    return missing_to_null(df)
+    return missing_to_null(df, text)
