@@ -182,9 +182,13 @@ def unsw(raw: DataFrame, **options) -> Prepared:
     )
 
 
-def cic_shared(raw_with_spaces: DataFrame) -> DataFrame:
-    """Headered flows in the shared schema; a feature the files lack is left out."""
-    mapped = rename_select(raw_with_spaces, CIC_SHARED, strict=False)
+def cic_shared(raw: DataFrame) -> DataFrame:
+    """Headered flows in the shared schema; a feature the files lack is left out.
+
+    Takes column names with spaces or with underscores.
+    """
+    underscored = {a.replace(" ", "_"): b for a, b in CIC_SHARED.items()}
+    mapped = rename_select(raw, CIC_SHARED | underscored, strict=False)
     flagged = mapped.withColumn(
         "is_attack", is_attack(canonical_benign(label_text(F.col("label"))))
     )
