@@ -119,15 +119,33 @@ class IsolationForest:
     def with_offset(self, offset: float) -> IsolationForest:
         return replace(self, offset=offset)
 
-    def _arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        slots = max(n[1] for n in self.nodes) + 1
-        feature = np.full((self.trees, slots), -1, dtype=np.int32)
-        threshold = np.zeros((self.trees, slots))
-        path = np.zeros((self.trees, slots))
-        for tree, node, f, t, size, depth in self.nodes:
-            feature[tree, node], threshold[tree, node] = f, t
-            path[tree, node] = depth + mean_path(size)
-        return feature, threshold, path
+    def _arrays(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each tree: split feature, threshold, children and leaf depth by node place.
+
+        The children of the node at ``i`` lie at ``2i`` (left) and ``2i + 1``; a
+        leaf is its own child, so that every row takes the same number of steps.
+        """
+        grouped: dict[int, list[tuple]] = {}
+        for n in self.nodes:
+            grouped.setdefault(n[0], []).append(n)
+        arrays = []
+        for tree in sorted(grouped):
+            nodes = grouped[tree]
+            place = {n[1]: i for i, n in enumerate(nodes)}
+            children = [
+                place[2 * node + side] if feature >= 0 else place[node]
+                for _, node, feature, _, _, _ in nodes
+                for side in (1, 2)
+            ]
+            arrays.append(
+                (
+                    np.array([max(n[2], 0) for n in nodes], dtype=np.intp),
+                    np.array([n[3] for n in nodes]),
+                    np.array(children, dtype=np.intp),
+                    np.array([n[5] + mean_path(n[4]) for n in nodes]),
+                )
+            )
+        return arrays
 
     def score_column(self, spark: SparkSession) -> Column:
         """``-2 ** (-mean depth / expected depth)``: lower is more unusual."""
@@ -137,13 +155,12 @@ class IsolationForest:
 
         @F.pandas_udf("double")
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            feature, threshold, path = shared.value
             for batch in batches:
                 x = np.column_stack([s.to_numpy(dtype=float) for s in batch])
                 out = np.empty(len(x))
                 for i in range(0, len(x), SCORE_STEP):
                     part = x[i : i + SCORE_STEP]
-                    out[i : i + SCORE_STEP] = mean_depth(part, feature, threshold, path, depth)
+                    out[i : i + SCORE_STEP] = mean_depth(part, shared.value, depth)
                 yield pd.Series(-np.exp2(-out / expected))
 
         return score(*[ref(f).cast("double") for f in self.features])
@@ -184,17 +201,18 @@ class IsolationForest:
         return cls(tuple(nodes), tuple(head["features"]), trees, head["rows"], head["offset"])
 
 
-def mean_depth(x, feature, threshold, path, depth: int) -> np.ndarray:
+def mean_depth(x: np.ndarray, trees: list, depth: int) -> np.ndarray:
     """Mean leaf depth of each row over all trees."""
-    total, row = np.zeros(len(x)), np.arange(len(x))
-    for f, t, p in zip(feature, threshold, path):
-        node = np.zeros(len(x), dtype=np.int32)
+    rows, width = x.shape
+    cells, first = np.ascontiguousarray(x).ravel(), np.arange(rows) * width
+    total = np.zeros(rows)
+    for feature, threshold, children, path in trees:
+        node = np.zeros(rows, dtype=np.intp)
         for _ in range(depth):
-            split = f[node]
-            right = x[row, np.maximum(split, 0)] > t[node]
-            node = np.where(split < 0, node, 2 * node + 1 + right)
-        total += p[node]
-    return total / len(path)
+            right = cells.take(first + feature.take(node)) > threshold.take(node)
+            node = children.take(2 * node + right)
+        total += path.take(node)
+    return total / len(trees)
 
 
 def detector_code(score: Column, offset: float | Column) -> Column:

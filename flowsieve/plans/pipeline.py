@@ -93,10 +93,8 @@ def run_all(
     shared: dict[str, DataFrame] = {}
     if cic_glob:
         raw = bronze(scan_headered(spark, cic_glob, text=["label"]), f"{out}/tables/cic-raw")
-        binary = prepare.cic_binary(raw, settings.null_label)
-        classes = prepare.cic_multiclass(raw)
-        binary.save(f"{out}/tables/cic-binary")
-        classes.save(f"{out}/tables/cic-classes")
+        binary = prepare.cic_binary(raw, settings.null_label).save(f"{out}/tables/cic-binary")
+        classes = prepare.cic_multiclass(raw).save(f"{out}/tables/cic-classes")
         rows += run_dataset(
             spark, binary, _without(classes, "multiclass_label"), "is_attack", "label", BENIGN, None,
             out, "cic", settings,
@@ -104,8 +102,7 @@ def run_all(
         shared["cic"] = prepare.cic_shared(raw)
     if unsw_paths:
         raw = bronze(scan_headerless(spark, unsw_paths, text=prepare.UNSW_TEXT), f"{out}/tables/unsw-raw")
-        flows = prepare.unsw(raw)
-        flows.save(f"{out}/tables/unsw")
+        flows = prepare.unsw(raw).save(f"{out}/tables/unsw")
         rows += run_dataset(
             spark, flows, _without(flows, "label"), "label", "multiclass_label", NORMAL, NORMAL,
             out, "unsw", settings,

@@ -88,9 +88,13 @@ class Prepared:
     def test(self) -> DataFrame:
         return self.table.filter(F.col("split") == TEST).drop("split")
 
-    def save(self, path: str) -> None:
+    def save(self, path: str) -> Prepared:
+        """Store table and statistics; the result reads the stored table."""
+        spark = self.table.sparkSession
         write_splits(self.table, f"{path}/table")
-        self.prep.save(self.table.sparkSession, f"{path}/prep")
+        self.prep.save(spark, f"{path}/prep")
+        stored = spark.read.parquet(f"{path}/table")
+        return Prepared(stored, self.features, self.prep, self.one_hot)
 
 
 def load_prepared(spark: SparkSession, path: str, features: Sequence[str] | None = None) -> Prepared:
