@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from flowsieve.operators.models import BOOST_ROUNDS, FOREST_TREES
-from flowsieve.plans.pipeline import Settings, run_all
+from flowsieve.plans.job import Settings, run_all
 
 
 def main(arguments: list[str] | None = None) -> None:

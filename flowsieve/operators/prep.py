@@ -16,7 +16,7 @@ from flowsieve.session import local_frame
 QUARTILES = (0.25, 0.5, 0.75)
 # A spread below this counts as constant and is divided by one.
 NO_SPREAD = 10 * sys.float_info.epsilon
-# Widest one-hot block a plain table takes; each category becomes a column.
+# Categories per column a plain table takes, on average; each becomes a column.
 MAX_CATEGORIES = 2_000
 NULL_NAME = "nan"
 
@@ -38,15 +38,21 @@ class OneHot:
 
     @classmethod
     def fit(cls, train: DataFrame, columns: Sequence[str]) -> OneHot:
+        """One pass finds the distinct values of all columns."""
         present = [c for c in columns if c in train.columns]
+        if not present:
+            return cls({})
+        cells = F.array(
+            *[F.struct(F.lit(c).alias("name"), ref(c).cast("string").alias("value")) for c in present]
+        )
+        distinct = train.select(F.explode(cells).alias("cell")).groupBy("cell.name", "cell.value")
+        limit = MAX_CATEGORIES * len(present)
+        rows = distinct.agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
+        if len(rows) > limit:
+            raise ValueError(f"over {limit} categories in {present}: too many table columns")
         found: dict[str, list[str | None]] = {}
         for c in present:
-            rows = train.select(ref(c)).distinct().limit(MAX_CATEGORIES + 1).collect()
-            if len(rows) > MAX_CATEGORIES:
-                raise ValueError(
-                    f"column {c!r} has over {MAX_CATEGORIES} categories: too many table columns"
-                )
-            values = [r[0] for r in rows]
+            values = [r["value"] for r in rows if r["name"] == c]
             found[c] = sorted(v for v in values if v is not None) + [None] * (None in values)
         return cls(found)
 

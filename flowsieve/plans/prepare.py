@@ -46,25 +46,30 @@ SHARED_FEATURES = (
     "duration", "src_packets", "dst_packets", "src_bytes", "dst_bytes",
     "src_mean_packet_sz", "dst_mean_packet_sz", "src_iat_mean", "dst_iat_mean",
 )
-CIC_SHARED = dict(
-    zip(
-        (
-            "flow duration", "total fwd packets", "total backward packets",
-            "total length of fwd packets", "total length of bwd packets",
-            "fwd packet length mean", "bwd packet length mean", "fwd iat mean", "bwd iat mean",
-        ),
-        SHARED_FEATURES,
-    )
-) | {"label": "label"}
-UNSW_SHARED = dict(
-    zip(
-        (
-            "dur", "Spkts", "Dpkts", "sbytes", "dbytes", "smeansz", "dmeansz", "Sintpkt",
-            "Dintpkt",
-        ),
-        SHARED_FEATURES,
-    )
-) | {"Label": "is_attack"}
+CIC_SHARED = {
+    "flow duration": "duration",
+    "total fwd packets": "src_packets",
+    "total backward packets": "dst_packets",
+    "total length of fwd packets": "src_bytes",
+    "total length of bwd packets": "dst_bytes",
+    "fwd packet length mean": "src_mean_packet_sz",
+    "bwd packet length mean": "dst_mean_packet_sz",
+    "fwd iat mean": "src_iat_mean",
+    "bwd iat mean": "dst_iat_mean",
+    "label": "label",
+}
+UNSW_SHARED = {
+    "dur": "duration",
+    "Spkts": "src_packets",
+    "Dpkts": "dst_packets",
+    "sbytes": "src_bytes",
+    "dbytes": "dst_bytes",
+    "smeansz": "src_mean_packet_sz",
+    "dmeansz": "dst_mean_packet_sz",
+    "Sintpkt": "src_iat_mean",
+    "Dintpkt": "dst_iat_mean",
+    "Label": "is_attack",
+}
 # Seconds and milliseconds to microseconds.
 UNSW_UNITS = {"duration": 1e6, "src_iat_mean": 1e3, "dst_iat_mean": 1e3}
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from flowsieve.operators.isolation import IsolationForest
 from flowsieve.operators.models import fit_logistic
 from flowsieve.plans import prepare
-from flowsieve.plans.pipeline import Settings, run_all
+from flowsieve.plans.job import Settings, run_all
 from flowsieve.sources import flows_csv, standins
 from flowsieve.sources.standins import LINEITEM_KEY
 from flowsieve.streaming.triage import triage_stream
