@@ -15,7 +15,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from flowsieve.functions.labels import BENIGN  # noqa: E402
 from flowsieve.operators import balance  # noqa: E402
-from flowsieve.operators.cascade import run_cascade  # noqa: E402
+from flowsieve.operators.cascade import apply_cascade  # noqa: E402
 from flowsieve.operators.isolation import SWEEP, IsolationForest  # noqa: E402
 from flowsieve.operators.models import fit_boosted, fit_forest, fit_logistic  # noqa: E402
 from flowsieve.operators.smote import smote  # noqa: E402
@@ -100,7 +100,7 @@ def main() -> None:
     offsets = timed("isolation_offsets", lambda: detector.offsets(train, SWEEP), n_train)
     detector = detector.with_offset(offsets[0.15])
     timed("isolation_score", lambda: run(detector.predict(test)), n_test)
-    timed("cascade_score", lambda: run(run_cascade(test, detector, boosted, BENIGN)), n_test)
+    timed("cascade_score", lambda: run(apply_cascade(test, detector, boosted, BENIGN)), n_test)
     print(
         json.dumps(
             {

@@ -28,7 +28,7 @@ def routing(df: DataFrame, flagged: Column) -> DataFrame:
     )
 
 
-def run_cascade(
+def apply_cascade(
     test: DataFrame,
     detector: IsolationForest,
     classifier: Classifier,

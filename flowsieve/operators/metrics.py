@@ -189,7 +189,9 @@ def average_precision(
     coarse_bounds = F.array(*[F.get("_bounds", i * FAN - 1) for i in range(1, FAN)])
     placed = placed.withColumn("_coarse", F.size(F.filter(coarse_bounds, below)))
     fine = F.size(F.filter(F.slice("_bounds", F.col("_coarse") * FAN + 1, FAN - 1), below))
-    placed = placed.withColumn("_bucket", F.col("_coarse") * FAN + fine).drop("_bounds", "_coarse")
+    # Never NULL: else the joins below would test, and so compute, the expression twice.
+    bucket = F.coalesce(F.col("_coarse") * FAN + fine, F.lit(0))
+    placed = placed.withColumn("_bucket", bucket).drop("_bounds", "_coarse")
 
     totals = placed.groupBy("class", "_bucket").agg(
         F.sum("hits").alias("_hits"), F.sum("rows").alias("_rows")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowsieve.operators.cascade import run_cascade, routing
+from flowsieve.operators.cascade import apply_cascade, routing
 from flowsieve.operators.isolation import IsolationForest, mean_path
 from flowsieve.operators.models import Classifier, fit_boosted, fit_forest, fit_logistic
 
@@ -108,11 +108,11 @@ def test_boosted_classes(spark, labelled, boosted, tmp_path):
 
 
 def test_cascade_routes_and_names(labelled, forest, boosted):
-    nothing = run_cascade(labelled, forest.with_offset(-2.0), boosted, "BENIGN")
+    nothing = apply_cascade(labelled, forest.with_offset(-2.0), boosted, "BENIGN")
     assert nothing.filter("prediction <> 'BENIGN' OR flagged").isEmpty() and nothing.count() == 3001
-    everything = run_cascade(labelled, forest.with_offset(1.0), boosted, "BENIGN")
+    everything = apply_cascade(labelled, forest.with_offset(1.0), boosted, "BENIGN")
     assert right_share(everything, "label") == right_share(boosted.predict(labelled), "label")
-    some = run_cascade(labelled, forest.with_offset(forest.offsets(labelled, [0.15])[0.15]), boosted, "BENIGN")
+    some = apply_cascade(labelled, forest.with_offset(forest.offsets(labelled, [0.15])[0.15]), boosted, "BENIGN")
     row = routing(some, F.col("flagged")).first()
     assert row["rows"] == 3001 and row["flagged"] + row["bypassed"] == 3001
     assert row["flagged_share"] == pytest.approx(0.15, abs=0.001)

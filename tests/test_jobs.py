@@ -72,9 +72,9 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
         stream, data.prep, detector, model, 0, f"{tmp_path}/out", f"{tmp_path}/check"
     )
     query.awaitTermination(120)
-    from flowsieve.operators.cascade import run_cascade
+    from flowsieve.operators.cascade import apply_cascade
 
-    batch = run_cascade(data.prep.transform(flows), detector, model, 0).select(*LINEITEM_KEY, "flagged", "prediction")
+    batch = apply_cascade(data.prep.transform(flows), detector, model, 0).select(*LINEITEM_KEY, "flagged", "prediction")
     got = spark.read.parquet(f"{tmp_path}/out").select(*LINEITEM_KEY, "flagged", "prediction")
     assert got.count() == flows.count()
     assert got.exceptAll(batch).isEmpty()
