@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import mixing, packing, quality_rules, rule_ensemble, token_counts
+from flowsieve.llm import minmax_dedup, mixing, packing, quality_rules, rule_ensemble, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def secret_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def mixing_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -43,11 +47,17 @@ def quality_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, similarity=0.85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_models": secret_models,
     "op4_mixing_pareto": mixing_pareto,
     "op5_quality_isolation": quality_isolation,
     "op6_packing_best_fit": packing_best_fit,
     "op7_token_lengths": token_lengths,
     "op8_quality_rule_ensemble": quality_rule_ensemble,
+    "op9_minmax_near_duplicates": minmax_near_duplicates,
 }
 ORACLES: dict[str, str] = {}
