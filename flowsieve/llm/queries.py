@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import minmax_dedup, mixing, packing, quality_rules, rule_ensemble, secrets, token_counts
+from flowsieve.llm import fixity, minmax_dedup, mixing, near_vectors, packing, quality_rules, rule_ensemble, secrets, token_counts, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def near_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica with changed, shortened and lost records."""
+    primary = fixity.archive(_table(spark, sf_dir, "pages"))
+    fate = F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 2)
+    changed = F.overlay("record", F.lit("#").cast("binary"), F.lit(6))
+    shorter = F.substring("record", F.lit(1), F.octet_length("record") - 1)
+    replica = primary.where(~fate.eqNullSafe("04")).withColumn("record", F.when(fate.isin("00", "01"), changed).when(fate.isin("02", "03"), shorter).otherwise(F.col("record")))
+    return fixity.audit(primary, replica).select("page_id", "status", "length", "expected")
+
+
 def secret_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -51,13 +65,46 @@ def minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, similarity=0.85)
 
 
+# The rule list of the query.
+URL_LIST = [
+    url_rules.list_rule("allow", "com/"), url_rules.list_rule("block", "example.com/en/"), url_rules.list_rule("allow", "www.example.com/en/"),
+    url_rules.list_rule("block", "net/es/"), url_rules.list_rule("block", "net/fr/"),
+]
+
+
+def url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages judged by the list, then by rules mined from the labels of the documents which their URLs name."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    number = F.expr(r"try_cast(regexp_extract(url, '://[^/]*/[^/]*/([0-9]+)', 1) as bigint)")
+    labelled = pages.withColumn("doc_id", number).join(labels, "doc_id").select("url", "block")
+    return url_rules.judge(pages, URL_LIST, url_rules.mine(labelled))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_vector_links": near_vector_links,
     "op2_secret_models": secret_models,
+    "op3_merkle_fixity": merkle_fixity,
     "op4_mixing_pareto": mixing_pareto,
     "op5_quality_isolation": quality_isolation,
     "op6_packing_best_fit": packing_best_fit,
     "op7_token_lengths": token_lengths,
     "op8_quality_rule_ensemble": quality_rule_ensemble,
     "op9_minmax_near_duplicates": minmax_near_duplicates,
+    "op10_url_association_rules": url_association_rules,
+}
+ORACLES: dict[str, str] = {
+    "op3_merkle_fixity": r"""
+        WITH records AS (
+            SELECT page_id, left(sha256(CAST(page_id AS VARCHAR)), 2) AS fate,
+                'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+                || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+                || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
+                || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+            FROM pages)
+        SELECT page_id, CASE WHEN fate = '04' THEN 'missing' ELSE 'corrupt' END AS status,
+            CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS expected
+        FROM records WHERE fate IN ('00', '01', '02', '03', '04')
+    """,
 }
-ORACLES: dict[str, str] = {}
