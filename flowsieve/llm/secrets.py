@@ -23,6 +23,8 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 # What the models judge: runs of the characters of keys, long enough to tell.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 _CODES = 128
+# Mean ratio of a pair from which on odds are clear: 15 pairs make 40 to 1.
+CLEAR = 0.25
 
 
 def _found(text: Column, pattern: str, when: Column, value_group: int, least: int) -> Column:
@@ -108,9 +110,10 @@ def train(scanned: DataFrame) -> Models:
     scanned documents, and a threshold between the two.
 
     Pairs are counted with partial sums; at most 128 x 128 counts a model reach the
-    driver. Unseen pairs get a share by their second character. The threshold lies a
-    quarter of the way from the most extreme of 10,000 ordinary samples to the secrets'
-    own level, and at even odds at least. Without secrets nothing counts as random.
+    driver. Unseen pairs get a share by their second character. The threshold lies
+    halfway between the level that a twentieth of the ordinary samples exceeds (some may
+    be secrets of other kinds) and the one nearly all secrets reach, and clearly above even
+    odds. Without secrets nothing counts as random.
     """
     samples = _samples(scanned)
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring("value", i, F.lit(2)))).alias("pair")
@@ -131,12 +134,12 @@ def train(scanned: DataFrame) -> Models:
         table[ord(p[0]) * _CODES + ord(p[1])] = logs[True][p] - logs[False][p]
     models = Models(",".join(f"{v:.5f}" for v in table), math.inf)
     level = samples.select("random", models.mean_ratio(F.col("value")).alias("ratio"))
-    facts = {r["random"]: r for r in level.groupBy("random").agg(F.percentile("ratio", F.lit(0.9999)).alias("high"), F.percentile("ratio", F.lit(0.05)).alias("low")).collect()}
+    facts = {r["random"]: r for r in level.groupBy("random").agg(F.percentile("ratio", F.lit(0.95)).alias("high"), F.percentile("ratio", F.lit(0.05)).alias("low")).collect()}
     if True not in facts:
         return models  # nothing is known of secrets: nothing can be told from them
     low = facts[True]["low"]
     high = facts[False]["high"] if False in facts else 0.0
-    return models._replace(threshold=max(0.0, high, high + (low - high) / 4))
+    return models._replace(threshold=max(CLEAR, (low + high) / 2))
 
 
 def _random(models: Models) -> Column:
