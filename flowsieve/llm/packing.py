@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -26,13 +27,40 @@ _SPECIAL = re.compile(r"<\|(start|end)oftext\|>")
 
 
 def _id_bytes(ids: Sequence[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def core_ids(tokenizer, words: list[bytes]) -> list[bytes]:
+    """Ids of words that hold no blanks, A-Z already lowered.
+
+    A word of letters is one piece for the pre-tokenizer, so the model alone encodes
+    it; Latin letters beyond ASCII are normalised many words at a time first.
+    Everything else goes through the whole tokenizer.
+    """
+    found: dict[bytes, bytes] = {}
+    direct = lambda piece: _id_bytes([t.id for t in tokenizer.model.tokenize(piece)])
+    latin, other = [], []
+    for word in words:
+        if word.isalpha():  # of bytes: ASCII letters only
+            found[word] = direct(word.decode())
+        else:
+            text = word.decode()
+            (latin if text.isalpha() and max(text) < "\u0250" else other).append(text)
+    for at in range(0, len(latin), 256):
+        some = latin[at : at + 256]
+        pieces = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(" ".join(some)))
+        if len(pieces) == len(some):
+            found.update((t.encode(), direct(piece)) for t, (piece, _) in zip(some, pieces))
+        else:
+            other += some
+    found.update((t.encode(), _id_bytes(ids)) for t, ids in zip(other, encode(tokenizer, other)))
+    return [found[w] for w in words]
 
 
 @lru_cache(maxsize=2)
 def _words(path: str) -> Memo:
     tokenizer = load(path)
-    cores = Memo(lambda words: map(_id_bytes, encode(tokenizer, [w.decode() for w in words])))
+    cores = Memo(lambda words: core_ids(tokenizer, words))
 
     def make(words):
         # A word is its core and the signs that trail it; few cores are new.
