@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from flowsieve.operators.models import BOOST_ROUNDS, FOREST_TREES
 from flowsieve.plans.job import Settings, run_all
+from flowsieve.session import ship_package
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -22,6 +23,7 @@ def main(arguments: list[str] | None = None) -> None:
     if not (options.cic or options.unsw):
         parser.error("name at least one of --cic and --unsw")
     spark = SparkSession.builder.appName("flowsieve").getOrCreate()
+    ship_package(spark)
     settings = Settings(
         forest={"trees": options.forest_trees},
         boost={"rounds": options.boost_rounds},

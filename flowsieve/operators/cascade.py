@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +41,34 @@ def apply_cascade(
 ) -> DataFrame:
     """Add the flag and the final class.
 
-    Only flagged rows reach the classifier: the detector runs once over the
-    table, the two branches read its persisted output and are put together
-    without a shuffle.
+    Only flagged rows reach the classifier; the two branches are put together without
+    a shuffle, and each scores the detector for itself.
     """
-    first = detector.predict(test, "_code").withColumn(flag, F.col("_code") == -1).drop("_code")
-    first = first.persist()
+    return _two_stages(_flagged(test, detector, flag), classifier, benign, out, flag)
+
+
+@contextmanager
+def cascade_rows(
+    test: DataFrame,
+    detector: IsolationForest,
+    classifier: Classifier,
+    benign,
+    out: str = "prediction",
+    flag: str = "flagged",
+) -> Iterator[DataFrame]:
+    """``apply_cascade`` with the detector's output held while the block runs, and freed after it."""
+    first = _flagged(test, detector, flag).persist()
+    try:
+        yield _two_stages(first, classifier, benign, out, flag)
+    finally:
+        first.unpersist()
+
+
+def _flagged(test: DataFrame, detector: IsolationForest, flag: str) -> DataFrame:
+    return detector.predict(test, "_code").withColumn(flag, F.col("_code") == -1).drop("_code")
+
+
+def _two_stages(first: DataFrame, classifier: Classifier, benign, out: str, flag: str) -> DataFrame:
     second = classifier.predict(first.filter(flag), out, "_scores").drop("_scores")
     passed = first.filter(~F.col(flag)).withColumn(out, F.lit(benign))
     return second.unionByName(passed)

@@ -43,27 +43,31 @@ def mean_path(n: int) -> float:
 def tree_samples(
     train: DataFrame, features: Sequence[str], key: Sequence[str] | None, trees: int, rows: int, seed: int
 ) -> tuple[DataFrame, int]:
-    """(tree, x) with ``min(rows, table)`` rows without replacement in every tree."""
+    """(tree, x) with ``min(rows, table)`` rows without replacement in every tree.
+
+    The first ``trees * rows`` rows of a random order are drawn, or all there are, and
+    laid out in a circle. Tree ``t`` starts at place ``t`` and takes ``rows`` places at
+    equal steps, the widest that fit once round. So samples are disjoint where the
+    table is large enough, and overlap where it is not.
+    """
     key = list(key or features)
     columns = [ref(c) for c in dict.fromkeys([*key, *features])]
     table = train.select(*columns)
     size = table.count()
     rows = min(rows, size)
+    drawn = take_n(table, trees * rows, None if key == list(features) else key, seed)
     vector = F.array(*[ref(f).cast("double") for f in features]).alias("x")
-    if size > trees * rows:
-        # Disjoint samples: one exact draw of trees * rows rows, dealt out in hash order.
-        drawn = take_n(table, trees * rows, None if key == list(features) else key, seed)
-        order = Window.orderBy("_h", "x")
-        dealt = drawn.select(vector, row_hash(seed, key).alias("_h")).withColumn(
-            "tree", F.pmod(F.row_number().over(order) - 1, F.lit(trees))
-        )
-        return dealt.select("tree", "x"), rows
-    # A table of at most trees * rows rows: every tree draws from all of it.
-    each = table.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = Window.partitionBy("tree").orderBy("_h", "x")
-    drawn = each.select("tree", vector, row_hash(seed, ["tree", *key]).alias("_h"))
-    ranked = drawn.withColumn("_place", F.row_number().over(order))
-    return ranked.filter(F.col("_place") <= rows).select("tree", "x"), rows
+    # At most trees * rows rows reach this window.
+    place = F.row_number().over(Window.orderBy("_h", "x")) - 1
+    placed = drawn.select(vector, row_hash(seed, key).alias("_h")).select("x", place.alias("_place"))
+    circle = max(1, min(size, trees * rows))
+    step = max(1, circle // max(1, rows))
+    ahead = lambda t: F.pmod(F.col("_place") - t, F.lit(circle))
+    mine = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: (ahead(t) % step == 0) & (ahead(t) < step * rows),
+    )
+    return placed.select(F.explode(mine).alias("tree"), "x"), rows
 
 
 def grow(sample: pd.DataFrame, seed: int, max_depth: int) -> pd.DataFrame:

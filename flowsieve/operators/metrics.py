@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import ref
-from flowsieve.session import Pinned, local_frame
+from flowsieve.session import Pinned, local_frame, stage
 
 ACTUAL, PREDICTED = "actual", "predicted"
 METRIC_SCHEMA = (
@@ -179,6 +179,7 @@ def average_precision(
         .groupBy("class", "score")
         .agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("rows"))
     )
+    counts = stage(counts, "score-counts")  # bounds, totals and running counts read it
     points = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
     bounds = counts.groupBy("class").agg(
         F.percentile_approx("score", points, 10 * SCORE_BUCKETS).alias("_bounds")
@@ -260,9 +261,16 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+AVERAGES = tuple(f"{kind}_{m}" for kind in ("macro", "weighted") for m in ("precision", "recall", "f1"))
+
+
 def summary(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """One row per experiment, model and split; one column per overall metric."""
-    overall = rows.filter(F.col("class") == "")
-    return overall.groupBy("experiment", "model", "split").pivot("metric", list(metrics)).agg(
+    """One row per experiment, model and split; a column per overall metric, and the macro
+    and weighted averages of precision, recall and F1."""
+    kind = F.regexp_extract("class", "^(macro|weighted) avg$", 1)
+    named = rows.filter((F.col("class") == "") | (kind != "")).withColumn(
+        "metric", F.when(kind != "", F.concat_ws("_", kind, "metric")).otherwise(F.col("metric"))
+    )
+    return named.groupBy("experiment", "model", "split").pivot("metric", [*metrics, *AVERAGES]).agg(
         F.max("value")
     )

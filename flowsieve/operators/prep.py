@@ -16,8 +16,6 @@ from flowsieve.session import local_frame
 QUARTILES = (0.25, 0.5, 0.75)
 # A spread below this counts as constant and is divided by one.
 NO_SPREAD = 10 * sys.float_info.epsilon
-# Categories per column a plain table takes, on average; each becomes a column.
-MAX_CATEGORIES = 2_000
 NULL_NAME = "nan"
 
 
@@ -46,16 +44,27 @@ class OneHot:
             *[F.struct(F.lit(c).alias("name"), ref(c).cast("string").alias("value")) for c in present]
         )
         distinct = train.select(F.explode(cells).alias("cell")).groupBy("cell.name", "cell.value")
-        limit = MAX_CATEGORIES * len(present)
-        rows = distinct.agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"over {limit} categories in {present}: too many table columns")
+        # Every category becomes a column, so the driver holds their names in any case.
+        rows = distinct.agg(F.count(F.lit(1)).alias("n")).collect()
         found: dict[str, list[str | None]] = {}
         for c in present:
             values = [r["value"] for r in rows if r["name"] == c]
             found[c] = sorted(v for v in values if v is not None) + [None] * (None in values)
         return cls(found)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row per category, in order; a table without rows for no columns."""
+        rows = [(c, i, v) for c, values in self.categories.items() for i, v in enumerate(values)]
+        frame = local_frame(spark, rows, "feature string, position int, category string")
+        frame.coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> OneHot:
+        found: dict[str, list[str | None]] = {}
+        for r in sorted(spark.read.parquet(path).collect(), key=lambda r: (r["feature"], r["position"])):
+            found.setdefault(r["feature"], []).append(r["category"])
+        return cls(found)
+
     def names(self) -> list[str]:
         return [
             f"{c}_{NULL_NAME if v is None else v}"

@@ -62,10 +62,11 @@ def find_thresholds(rows: DataFrame, quota: Quota) -> Pinned:
     counts.unpersist()
     width = STEP_DIGITS
     while width < HASH_DIGITS:
-        largest = state.highest("ties")
-        if largest is None:
+        # Rows under a cut may agree in more digits than were read, copies in all of them.
+        read = state.frame.agg(F.max("ties"), F.min(F.when(F.col("ties") > FINE_ROWS, F.col("same")))).first()
+        if read[0] is None:
             break
-        before, width = width, HASH_DIGITS if largest <= FINE_ROWS else width + STEP_DIGITS
+        before, width = width, HASH_DIGITS if read[1] is None else min(HASH_DIGITS, max(width, read[1]) + STEP_DIGITS)
         state = Pinned(_narrow(rows, state, before, width))
     found = state.side.select(F.col(STRATUM).alias("_s"), "cut", "take", "ties")
     whole = F.when(F.col("want") <= 0, F.lit(NONE)).otherwise(F.lit(ALL))
@@ -81,10 +82,16 @@ def find_thresholds(rows: DataFrame, quota: Quota) -> Pinned:
 
 def _prefix_counts(rows: DataFrame, keep: Sequence[str], width: int) -> DataFrame:
     return rows.groupBy(STRATUM, *keep, F.substring(HASH, 1, width).alias("prefix")).agg(
-        F.count(F.lit(1)).alias("rows")
+        F.count(F.lit(1)).alias("rows"), F.min(HASH).alias("low"), F.max(HASH).alias("high")
     )
 
 
+def _common(low: Column, high: Column) -> Column:
+    """Number of leading digits two hash texts share."""
+    differing = F.filter(F.sequence(F.lit(1), F.length(low)), lambda i: F.substring(low, i, F.lit(1)) != F.substring(high, i, F.lit(1)))
+    return F.coalesce(F.array_min(differing) - 1, F.lit(HASH_DIGITS))
+
+
 def _cut(counts: DataFrame) -> DataFrame:
     """The prefix of each stratum under which the row number ``take`` lies."""
     # At most 16**STEP_DIGITS prefixes, or FINE_ROWS hashes, of one stratum.
@@ -97,6 +104,7 @@ def _cut(counts: DataFrame) -> DataFrame:
             F.col("prefix").alias("cut"),
             (F.col("take") - (F.col("upto") - F.col("rows"))).alias("take"),
             F.col("rows").alias("ties"),
+            _common(F.col("low"), F.col("high")).alias("same"),
         )
     )
 

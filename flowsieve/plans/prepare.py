@@ -98,6 +98,7 @@ class Prepared:
         spark = self.table.sparkSession
         write_splits(self.table, f"{path}/table")
         self.prep.save(spark, f"{path}/prep")
+        (self.one_hot or OneHot({})).save(spark, f"{path}/one-hot")
         stored = spark.read.parquet(f"{path}/table")
         return Prepared(stored, self.features, self.prep, self.one_hot)
 
@@ -105,7 +106,8 @@ class Prepared:
 def load_prepared(spark: SparkSession, path: str, features: Sequence[str] | None = None) -> Prepared:
     prep = FeaturePrep.load(spark, f"{path}/prep")
     table = spark.read.parquet(f"{path}/table")
-    return Prepared(table, list(features or prep.features), prep)
+    one_hot = OneHot.load(spark, f"{path}/one-hot")
+    return Prepared(table, list(features or prep.features), prep, one_hot if one_hot.categories else None)
 
 
 def with_row_id(raw: DataFrame) -> DataFrame:

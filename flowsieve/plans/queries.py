@@ -349,13 +349,12 @@ def majority_partition(spark, sf_dir):
     )
 
 
-@query("""SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN
-  (SELECT o_orderpriority FROM orders WHERE o_totalprice > 499000 GROUP BY 1 HAVING count(*) >= 6)""")
+@query("""SELECT doc_id, lang || '/' || source AS class_name FROM documents WHERE lang || '/' || source IN
+  (SELECT lang || '/' || source FROM documents GROUP BY 1 HAVING count(*) >= 6)""")
 def known_class_rows(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    dear = balance.drop_rare(orders.filter("o_totalprice > 499000"), "o_orderpriority")
-    known = classes.class_dictionary(dear, "o_orderpriority")
-    return classes.keep_known(orders, "o_orderpriority", known).select("o_orderkey", "o_orderpriority")
+    docs = _doc_classes(spark, sf_dir).select("doc_id", "class_name")
+    known = classes.class_dictionary(balance.drop_rare(docs, "class_name"), "class_name")
+    return classes.keep_known(docs, "class_name", known)
 
 
 DICTIONARY = """all_classes AS (SELECT class_name, CAST(row_number() OVER (ORDER BY class_name) - 1 AS INTEGER) AS class_idx
@@ -397,7 +396,8 @@ def dense_reindex_round_trip(spark, sf_dir):
     )
 
 
-EVENT_CLASSES = ["click", "error", "purchase", "signup", "view"]
+def _event_classes(flows: DataFrame) -> list:
+    return classes.class_names(flows, "event_type")
 
 
 @query(f"""SELECT event_id, unnest(['click', 'error', 'purchase', 'signup', 'view']) AS class,
@@ -409,9 +409,10 @@ def spread_class_scores(spark, sf_dir):
     """A model of three classes reported over all five."""
     flows = standins.events_flows(spark, sf_dir)
     scores = F.array(F.col("value"), F.col("k"), F.col("value") + F.col("k"))
-    spread = classes.spread_scores(scores, ["click", "error", "signup"], EVENT_CLASSES)
+    names = _event_classes(flows)
+    spread = classes.spread_scores(scores, ["click", "error", "signup"], names)
     scored = flows.withColumn("scores", spread)
-    return classes.long_scores(scored, "event_type", "scores", EVENT_CLASSES, ["event_id"])
+    return classes.long_scores(scored, "event_type", "scores", names, ["event_id"])
 
 
 # ---------------------------------------------------------------- aggregates
@@ -513,10 +514,9 @@ def shared_schema_union(spark, sf_dir):
 def attach_columns(spark, sf_dir):
     """Features, encoded categories and labels stay in one row: nothing to glue."""
     items = table(spark, sf_dir, "lineitem")
-    encoded = prep.OneHot({"l_linestatus": ["F", "O"]}).transform(
+    return prep.OneHot.fit(items, ["l_linestatus"]).transform(
         items.select("l_orderkey", "l_quantity", "l_tax", "l_linestatus", F.col("l_returnflag").alias("label"))
     )
-    return encoded
 
 
 @query(f"""WITH {O.split_ctes(O.EVENTS, 'is_attack', 'event_id')} SELECT event_id, is_attack, split FROM marked""")
@@ -819,8 +819,8 @@ def unsw_shared_columns(spark, sf_dir):
   SELECT a.class AS actual, p.class AS predicted,
     (SELECT count(*) FROM ev WHERE event_type = a.class AND rule_class = p.class) AS n FROM c a, c p""")
 def confusion(spark, sf_dir):
-    pairs = metrics.pair_counts(standins.events_flows(spark, sf_dir), "event_type", "rule_class")
-    return metrics.confusion(pairs, EVENT_CLASSES)
+    flows = standins.events_flows(spark, sf_dir)
+    return metrics.confusion(metrics.pair_counts(flows, "event_type", "rule_class"), _event_classes(flows))
 
 
 @query(f"SELECT round(avg(CAST(event_type = rule_class AS INTEGER)), 9) AS accuracy FROM ({O.EVENTS})")
@@ -889,8 +889,9 @@ CLASS_SCORES = """SELECT c.class, CAST(event_type = c.class AS INTEGER) AS hit,
 
 def _class_scores(spark, sf_dir):
     flows = standins.events_flows(spark, sf_dir)
-    scores = F.array(*[F.col("value") * (len(c) + F.col("event_id") % 3) for c in EVENT_CLASSES])
-    return classes.long_scores(flows.withColumn("scores", scores), "event_type", "scores", EVENT_CLASSES)
+    names = _event_classes(flows)
+    scores = F.array(*[F.col("value") * (len(c) + F.col("event_id") % 3) for c in names])
+    return classes.long_scores(flows.withColumn("scores", scores), "event_type", "scores", names)
 
 
 @query(f"""WITH ev AS ({O.EVENTS}), {_ap_sql(CLASS_SCORES)}
@@ -935,13 +936,32 @@ def experiment_metadata(spark, sf_dir):
     )
 
 
-@query(f"""WITH {BINARY_SQL}, ap AS (WITH {_ap_sql("SELECT '' AS class, rule_score AS score, is_attack AS hit FROM ev")}
+def _averages_sql(name: str, actual: str, predicted: str) -> str:
+    """CTE ``name``: macro and weighted averages of a report over the classes that occur in ``ev``."""
+    averages = ", ".join(
+        [f"avg({m}) AS macro_{m}" for m in ("precision", "recall", "f1")]
+        + [f"sum({m} * support) / sum(support) AS weighted_{m}" for m in ("precision", "recall", "f1")]
+    )
+    return f"""{name}_counts AS (SELECT class, CAST(count(*) FILTER (a = class) AS DOUBLE) AS support,
+      CAST(count(*) FILTER (p = class) AS DOUBLE) AS called, CAST(count(*) FILTER (a = class AND p = class) AS DOUBLE) AS hits
+    FROM (SELECT {actual} AS a, {predicted} AS p FROM ev), (SELECT {actual} AS class FROM ev UNION SELECT {predicted} FROM ev)
+    GROUP BY class),
+  {name}_pr AS (SELECT support, {O.ratio('hits', 'called')} AS precision, {O.ratio('hits', 'support')} AS recall FROM {name}_counts),
+  {name} AS (SELECT {averages} FROM
+    (SELECT *, {O.ratio('2 * precision * recall', 'precision + recall')} AS f1 FROM {name}_pr))"""
+
+
+ROUNDED_AVERAGES = ", ".join(f"round({m}, 9) AS {m}" for m in metrics.AVERAGES)
+
+
+@query(f"""WITH {BINARY_SQL}, {_averages_sql("rule_avg", "is_attack", "rule")},
+  {_averages_sql("class_avg", "event_type", "rule_class")}, ap AS (WITH {_ap_sql("SELECT '' AS class, rule_score AS score, is_attack AS hit FROM ev")}
     SELECT average_precision FROM per_class)
   SELECT 'events' AS experiment, 'rule' AS model, 'all' AS split, round(accuracy, 9) AS accuracy,
     round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, round(far, 9) AS far,
-    round(average_precision, 9) AS auc_pr FROM scores, ap
+    round(average_precision, 9) AS auc_pr, {ROUNDED_AVERAGES} FROM scores, ap, rule_avg
   UNION ALL SELECT 'events', 'class rule', 'all', (SELECT round(avg(CAST(event_type = rule_class AS INTEGER)), 9) FROM ev),
-    NULL, NULL, NULL, NULL, NULL""")
+    NULL, NULL, NULL, NULL, NULL, {ROUNDED_AVERAGES} FROM class_avg""")
 def summary_pivot(spark, sf_dir):
     flows = standins.events_flows(spark, sf_dir)
     pairs = metrics.pair_counts(flows, "event_type", "rule_class")
@@ -953,7 +973,7 @@ def summary_pivot(spark, sf_dir):
         ]
     )
     names = ["accuracy", "precision", "recall", "f1", "far", "auc_pr"]
-    return rounded(metrics.summary(rows, names), names, 9)
+    return rounded(metrics.summary(rows, names), [*names, *metrics.AVERAGES], 9)
 
 
 # ---------------------------------------------------------------- detector and cascade steps

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -13,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# A frame of at most this many rows may be pinned on the driver and broadcast.
-SMALL_ROWS = 20_000
-# Tables below this size gain nothing from more tasks.
-DEAL_ROWS = 20_000
+# A frame of at most this many rows and bytes may be pinned on the driver and broadcast.
+SMALL_ROWS, SMALL_BYTES = 20_000, 8 << 20
+# Row groups of staged tables: small enough that a file of one task is read by several.
+GROUP_BYTES = 8 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -61,63 +63,63 @@ def small_methods(spark: SparkSession) -> Iterator[None]:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once and read it back: cuts lineage, survives lost executors.
 
-    A table which came out of fewer tasks than there are cores is dealt out
-    evenly; a large one is read by many tasks as it is.
+    Row groups are small, so a table written by few tasks is still read by many.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    with small_methods(spark):
-        df.write.parquet(path)
-    staged = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    tasks = staged.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"))
-    used, rows = tasks.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if rows < DEAL_ROWS or used >= cores:
-        return staged
-    staged.repartition(cores).write.parquet(f"{path}-dealt")
-    return spark.read.parquet(f"{path}-dealt")
+    path = scratch_path(df.sparkSession, name)
+    with small_methods(df.sparkSession):
+        df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, wherever the driver was started from."""
+    root = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="flowsieve-package-")) / "flowsieve"
+    spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", root.parent, root.name))
+
+
+def arrow_table(rows: Sequence[Sequence], schema: T.StructType) -> pa.Table:
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
+    return pa.Table.from_arrays(columns, schema=arrow)
 
 
 def local_frame(spark: SparkSession, rows: Sequence[Sequence], schema: str | T.StructType) -> DataFrame:
     """A few driver rows as a frame the JVM holds itself: reading it starts no Python worker."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    arrow = to_arrow_schema(schema)
-    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
-    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
+    return spark.createDataFrame(arrow_table(rows, schema), schema)
 
 
 class Pinned:
     """A small frame computed once.
 
-    Up to ``limit`` rows are held on the driver and broadcast. Anything larger
-    is checkpointed reliably and joined without a hint, so the size of a
-    broadcast never follows the data.
+    Up to ``limit`` rows of at most ``SMALL_BYTES`` are held on the driver and
+    broadcast. Anything larger is checkpointed reliably and joined without a
+    hint, so the size of a broadcast never follows the data.
     """
 
     def __init__(self, df: DataFrame, limit: int = SMALL_ROWS):
         spark = df.sparkSession
-        bounded = df.limit(limit + 1).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-        rows = bounded.first()[0]
-        self.rows: list[Row] | None = None
-        if len(rows) <= limit:
-            self.rows = rows
-            self.frame = local_frame(spark, rows, df.schema)
-            self.side = F.broadcast(self.frame)
-        else:
-            work_dir(spark)
-            self.frame = df.checkpoint()
-            self.side = self.frame
+        held = df.persist()  # the look at its size and the checkpoint share one computation
+        try:
+            bounded = held.limit(limit + 1).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+            rows = bounded.first()[0]
+            self.rows: list[Row] | None = None
+            if len(rows) <= limit and arrow_table(rows, df.schema).nbytes <= SMALL_BYTES:
+                self.rows = rows
+                self.frame = local_frame(spark, rows, df.schema)
+                self.side = F.broadcast(self.frame)
+            else:
+                work_dir(spark)
+                self.frame = held.checkpoint()
+                self.side = self.frame
+        finally:
+            held.unpersist()
 
     @property
     def small(self) -> bool:
         return self.rows is not None
 
-    def highest(self, column: str):
-        """Largest value of a column, None without rows."""
-        if self.rows is not None:
-            return max((r[column] for r in self.rows), default=None)
-        return self.frame.agg(F.max(column)).first()[0]
-
     def any(self, condition: Column) -> bool:
         return not self.frame.filter(condition).isEmpty()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from flowsieve.operators.cascade import apply_cascade
+from flowsieve.operators.cascade import cascade_rows
 from flowsieve.operators.isolation import IsolationForest
 from flowsieve.operators.models import Classifier
 from flowsieve.operators.prep import FeaturePrep, OneHot
@@ -33,8 +33,8 @@ def triage_stream(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        final = apply_cascade(batch, detector, classifier, benign)
-        final.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with cascade_rows(batch, detector, classifier, benign) as final:
+            final.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     ready = prepared(stream, prep, one_hot)
     return (
