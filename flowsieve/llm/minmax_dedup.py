@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     families = components(touching).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     members = classes.drop("bands").join(families, "rep").select(F.col("rep").alias("doc_id"), "digest", "n_shingles", "family")
     wanted = staged(_blocks(members, least), "blocks")
-    sets = _full_sets(docs.select("doc_id", "text").join(wanted, "doc_id"), width)
+    # Candidates grow with the documents: one plan at every size, never a broadcast.
+    sets = _full_sets(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id"), width)
     dealt = sets.select("doc_id", "shingles", F.explode("blocks").alias("block"))
 
     def confirm(group: pa.Table) -> pa.Table:
