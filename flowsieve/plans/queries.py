@@ -14,7 +14,6 @@ from flowsieve.operators.cascade import combine, routing
 from flowsieve.operators.isolation import IsolationForest, detector_code
 from flowsieve.operators.models import (
     Classifier,
-    fit_boosted,
     fit_forest,
     fit_logistic,
     timed,
@@ -25,6 +24,7 @@ from flowsieve.operators.split import TEST, TRAIN, stratified_split
 from flowsieve.plans import oracle as O
 from flowsieve.plans import prepare
 from flowsieve.plans.experiments import (
+    Outcome,
     anomaly_sweep,
     binary_baselines,
     binary_rows,
@@ -37,6 +37,7 @@ from flowsieve.session import local_frame, scratch_path, stage
 from flowsieve.sources import flows_csv, standins, tables
 from flowsieve.sources.standins import LINEITEM_KEY, VECTOR, table
 
+TRANSFER_SPLIT = O.split_ctes(O.LINEITEM_SHARED, "is_attack", ", ".join(LINEITEM_KEY))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,19 +157,28 @@ def json_metrics_sink(spark, sf_dir):
     return rounded(tables.read_json(spark, path, metrics.METRIC_SCHEMA), ["value"], 9)
 
 
-@query()
+@query(f"""WITH {TRANSFER_SPLIT} SELECT is_attack, count(*) AS n, CAST(0 AS BIGINT) AS differing FROM marked
+  WHERE split = 'test' GROUP BY ALL""")
 def model_persistence(spark, sf_dir):
-    """Predictions of a saved and loaded model, detector and scaler."""
+    """Predictions of a saved and loaded model, detector and scaler, against the fitted ones."""
     data = _shared_data(spark, sf_dir)
     path = scratch_path(spark, "models")
-    fit_logistic(data.train, "is_attack", data.features, max_iter=20).save(spark, f"{path}/logistic")
-    forest = IsolationForest.fit(data.train, data.features, LINEITEM_KEY, trees=10)
-    forest.with_offset(-0.5).save(spark, f"{path}/isolation")
+    model = fit_logistic(data.train, "is_attack", data.features)
+    forest = IsolationForest.fit(data.train, data.features, LINEITEM_KEY).with_offset(-0.5)
+    model.save(spark, f"{path}/logistic")
+    forest.save(spark, f"{path}/isolation")
     data.save(f"{path}/data")
     again = prepare.load_prepared(spark, f"{path}/data")
-    model = Classifier.load(spark, f"{path}/logistic")
-    scored = IsolationForest.load(spark, f"{path}/isolation").predict(model.predict(again.test))
-    return scored.groupBy("is_attack", "prediction", "code").agg(F.count(F.lit(1)).alias("n"))
+
+    def verdicts(test, one, two, name):
+        scored = two.predict(one.predict(test))
+        return scored.select(*LINEITEM_KEY, "is_attack", F.struct("prediction", "scores", "code").alias(name))
+
+    before = verdicts(data.test, model, forest, "before")
+    after = verdicts(again.test, Classifier.load(spark, f"{path}/logistic"), IsolationForest.load(spark, f"{path}/isolation"), "after")
+    both = before.join(after, [*LINEITEM_KEY, "is_attack"], "full")
+    differing = F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("differing")
+    return both.groupBy("is_attack").agg(F.count(F.lit(1)).alias("n"), differing)
 
 
 # ---------------------------------------------------------------- projections and cleaning
@@ -551,9 +561,6 @@ def stratified_split_copies(spark, sf_dir):
     return marked.groupBy("l_linenumber", "l_returnflag", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-TRANSFER_SPLIT = O.split_ctes(O.LINEITEM_SHARED, "is_attack", ", ".join(LINEITEM_KEY))
-
-
 @query(f"""WITH {TRANSFER_SPLIT} SELECT CASE split WHEN 'test' THEN 'validation' ELSE split END AS part,
     is_attack, count(*) AS n FROM marked GROUP BY ALL
   UNION ALL SELECT 'external', is_attack, count(*) FROM ({O.EVENTS_SHARED}) GROUP BY ALL""")
@@ -908,16 +915,17 @@ def macro_average_precision(spark, sf_dir):
     return rounded(found, ["macro_average_precision"], 9)
 
 
-@query()
+@query("""SELECT unnest(['fit_seconds', 'score_seconds']) AS metric, TRUE AS measured""")
 def inference_seconds(spark, sf_dir):
-    """Time to score the held-out rows; the score is forced, nothing is stored."""
+    """Time to fit and to score the held-out rows; the score is forced, nothing is stored."""
     data = _shared_data(spark, sf_dir)
-    model = fit_logistic(data.train, "is_attack", data.features, max_iter=20)
+    model = fit_logistic(data.train, "is_attack", data.features)
     scored = model.predict(data.test)
-    return metrics.constant_rows(
+    rows = metrics.constant_rows(
         spark, "lineitem", "logistic", TEST,
         {"fit_seconds": model.fit_seconds, "score_seconds": timed(scored)},
     )
+    return rows.select("metric", (F.col("value") > 0).alias("measured"))
 
 
 @query(f"""WITH {TAKEN}, base AS (SELECT * FROM placed WHERE o_orderstatus <> {TOP_STATUS} OR place <= 500)
@@ -1026,8 +1034,11 @@ def cascade_routing(spark, sf_dir):
 
 # ---------------------------------------------------------------- models
 
-SMALL_FOREST = {"trees": 10, "depth": 6}
-SMALL_BOOST = {"rounds": 4, "depth": 3}
+CLASS_SPLIT = O.split_ctes(
+    f"""SELECT * EXCLUDE (is_attack), CASE WHEN duration > 80000 THEN 'bulk' WHEN duration > 60000 THEN 'dear'
+      ELSE 'BENIGN' END AS label FROM ({O.LINEITEM_SHARED})""", "label", ", ".join(LINEITEM_KEY)
+)
+EVENTS_SPLIT = O.split_ctes(O.EVENTS_SHARED, "is_attack", "event_id")
 
 
 def _shared_data(spark, sf_dir) -> prepare.Prepared:
@@ -1045,95 +1056,165 @@ def _class_data(spark, sf_dir) -> prepare.Prepared:
     return prepare.fit_and_scale(flows, "label", ["label"], LINEITEM_KEY)
 
 
-def _binary_scores(model: Classifier, data: prepare.Prepared) -> DataFrame:
+_OUTCOMES: dict[tuple[str, str], tuple[prepare.Prepared, Outcome]] = {}
+
+
+def _class_models(spark, sf_dir) -> tuple[prepare.Prepared, Outcome]:
+    """The multiclass experiment with its full settings, fitted once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _OUTCOMES:
+        data = _class_data(spark, sf_dir)
+        _OUTCOMES[key] = data, multiclass(data, "label", "lineitem", L.BENIGN, key=LINEITEM_KEY)
+    return _OUTCOMES[key]
+
+
+def _binary_facts(model: Classifier, data: prepare.Prepared) -> DataFrame:
+    """Held-out rows by actual label; the label follows from a feature, so it must be learned."""
     pairs = metrics.pair_counts(model.predict(data.test), "is_attack", "prediction")
-    return metrics.binary_metrics(pairs)
+    return metrics.binary_metrics(pairs).select(
+        F.expr("tn + fp").alias("benign"), F.expr("fn + tp").alias("attacks"),
+        (F.col("accuracy") > 0.95).alias("learned"),
+    )
 
 
-@query()
+BINARY_FACTS = f"""WITH {TRANSFER_SPLIT} SELECT count(*) FILTER (is_attack = 0) AS benign,
+  count(*) FILTER (is_attack = 1) AS attacks, TRUE AS learned FROM marked WHERE split = 'test'"""
+CLASS_FACTS = f"""WITH {CLASS_SPLIT} SELECT label AS class, count(*) AS support, TRUE AS learned FROM marked
+  WHERE split = 'test' GROUP BY ALL"""
+
+
+@query(BINARY_FACTS)
 def logistic_binary(spark, sf_dir):
     data = _shared_data(spark, sf_dir)
-    return _binary_scores(fit_logistic(data.train, "is_attack", data.features, max_iter=100), data)
+    return _binary_facts(fit_logistic(data.train, "is_attack", data.features), data)
 
 
-@query()
+@query(BINARY_FACTS)
 def forest_binary(spark, sf_dir):
     data = _shared_data(spark, sf_dir)
-    return _binary_scores(fit_forest(data.train, "is_attack", data.features, **SMALL_FOREST), data)
+    return _binary_facts(fit_forest(data.train, "is_attack", data.features), data)
+
+
+def _class_facts(model: Classifier, data: prepare.Prepared) -> DataFrame:
+    report = metrics.class_report(metrics.pair_counts(model.predict(data.test), "label", "prediction"))
+    return report.select("class", "support", (F.col("f1") > 0.9).alias("learned"))
 
 
-@query()
+@query(CLASS_FACTS)
 def boosted_weighted(spark, sf_dir):
-    data = _class_data(spark, sf_dir)
-    model = fit_boosted(data.train, "label", data.features, balanced=True, **SMALL_BOOST)
-    return metrics.class_report(metrics.pair_counts(model.predict(data.test), "label", "prediction"))
+    data, outcome = _class_models(spark, sf_dir)
+    return _class_facts(outcome.models["weighted"], data)
 
 
-@query()
+@query(CLASS_FACTS)
 def boosted_smote(spark, sf_dir):
     """Boosted trees on rows raised to equal class sizes."""
-    data = _class_data(spark, sf_dir)
-    base = balance.downsample(data.train, "label", 1000, LINEITEM_KEY)
-    raised = smote(balance.drop_rare(base, "label"), "label", data.features, LINEITEM_KEY)
-    model = fit_boosted(raised, "label", data.features, balanced=False, **SMALL_BOOST)
-    return metrics.class_report(metrics.pair_counts(model.predict(data.test), "label", "prediction"))
+    data, outcome = _class_models(spark, sf_dir)
+    return _class_facts(outcome.models["smote"], data)
 
 
-@query()
+@query(f"""WITH {TRANSFER_SPLIT} SELECT split, count(*) AS n, TRUE AS near_level FROM marked GROUP BY ALL""")
 def isolation_fit_predict(spark, sf_dir):
+    """Share of outliers at contamination 0.15: exact on training rows, close to it on held-out ones."""
     data = _shared_data(spark, sf_dir)
     forest = IsolationForest.fit(data.train, data.features, LINEITEM_KEY)
     forest = forest.with_offset(forest.offsets(data.train, [0.15])[0.15])
-    flagged = forest.predict(data.test)
-    return flagged.groupBy("is_attack", "code").agg(F.count(F.lit(1)).alias("n"))
+    flagged = forest.predict(data.table).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("code") == -1).cast("int")).alias("share")
+    )
+    slack = F.when(F.col("split") == TRAIN, 0.005).otherwise(0.05)
+    return flagged.select("split", "n", (F.abs(F.col("share") - 0.15) < slack).alias("near_level"))
 
 
-@query()
+@query(f"""WITH {CLASS_SPLIT} SELECT unnest(['isolation c=0.10', 'isolation c=0.15', 'isolation c=0.20']) AS model,
+  (SELECT count(*) FROM marked WHERE split = 'test') AS n,
+  (SELECT count(*) FROM marked WHERE split = 'test' AND label <> 'BENIGN') AS attacks, TRUE AS timed""")
 def isolation_sweep(spark, sf_dir):
     data = _class_data(spark, sf_dir)
-    return anomaly_sweep(data, "label", "lineitem", key=LINEITEM_KEY).rows
+    rows = anomaly_sweep(data, "label", "lineitem", key=LINEITEM_KEY).rows.filter("class = '' AND model <> 'base'")
+    cells = rows.groupBy("model").pivot("metric", ["tn", "fp", "fn", "tp", "fit_seconds", "score_seconds"]).agg(F.max("value"))
+    return cells.select(
+        "model", F.expr("cast(tn + fp + fn + tp AS bigint)").alias("n"), F.expr("cast(fn + tp AS bigint)").alias("attacks"),
+        F.expr("fit_seconds > 0 AND score_seconds > 0").alias("timed"),
+    )
 
 
-@query()
+@query(f"""WITH {TRANSFER_SPLIT} SELECT {', '.join(LINEITEM_KEY)}, TRUE AS valid FROM marked WHERE split = 'test'""")
 def class_probabilities(spark, sf_dir):
-    """Predicted class and probability of every held-out row."""
+    """Probabilities of every held-out row: they sum to one, and the class is the likelier one."""
     data = _shared_data(spark, sf_dir)
-    model = fit_forest(data.train, "is_attack", data.features, **SMALL_FOREST)
-    return model.predict(data.test).select(
-        *LINEITEM_KEY, "prediction", F.round(F.get("scores", 1), 6).alias("probability")
-    )
+    model = fit_forest(data.train, "is_attack", data.features)
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    called = F.get("scores", F.col("prediction").cast("int")) == F.array_max("scores")
+    valid = (F.abs(total - 1) < 1e-9) & (F.array_min("scores") >= 0) & called
+    return model.predict(data.test).select(*LINEITEM_KEY, valid.alias("valid"))
 
 
-@query()
-def cascade_models(spark, sf_dir):
-    data = _class_data(spark, sf_dir)
+def flagship(spark, sf_dir) -> DataFrame:
+    """Two-stage detection: metric rows of the cascade on held-out flows."""
+    data, outcome = _class_models(spark, sf_dir)
     forest = IsolationForest.fit(data.train, data.features, LINEITEM_KEY)
     forest = forest.with_offset(forest.offsets(data.train, [0.15])[0.15])
-    model = fit_boosted(data.train, "label", data.features, balanced=True, **SMALL_BOOST)
-    return cascade(data, "label", "lineitem", forest, model, L.BENIGN).rows
+    return cascade(data, "label", "lineitem", forest, outcome.models["smote"], L.BENIGN).rows
 
 
-@query()
+@query(f"""WITH {CLASS_SPLIT} SELECT label AS class, 'support' AS metric, CAST(count(*) AS DOUBLE) AS value FROM marked
+    WHERE split = 'test' GROUP BY ALL
+  UNION ALL SELECT '', 'rows', count(*) FROM marked WHERE split = 'test'
+  UNION ALL SELECT '', 'flagged + bypassed', count(*) FROM marked WHERE split = 'test'""")
+def cascade_models(spark, sf_dir):
+    """Supports of the final classes, and that every row takes one of the two ways."""
+    rows = flagship(spark, sf_dir).select("class", "metric", "value")
+    routed = rows.filter("metric IN ('flagged', 'bypassed')").agg(F.sum("value").alias("value"))
+    kept = rows.filter("metric = 'rows' OR (metric = 'support' AND class NOT LIKE '% avg')")
+    return kept.unionByName(routed.select(F.lit("").alias("class"), F.lit("flagged + bypassed").alias("metric"), "value"))
+
+
+def _part_sizes(rows: DataFrame) -> DataFrame:
+    cells = rows.filter("class = ''").groupBy("experiment", "model", "split").pivot("metric", ["tn", "fp", "fn", "tp", "fit_seconds"]).agg(F.max("value"))
+    return cells.select(
+        "experiment", "model", "split", F.expr("cast(tn + fp + fn + tp AS bigint)").alias("n"),
+        F.expr("cast(fn + tp AS bigint)").alias("attacks"), F.expr("fit_seconds > 0").alias("timed"),
+    )
+
+
+@query(f"""WITH here AS (WITH {TRANSFER_SPLIT} SELECT is_attack, split FROM marked),
+    there AS (WITH {EVENTS_SPLIT} SELECT is_attack, split FROM marked),
+    parts AS (SELECT 'lineitem to events' AS experiment, 'validation' AS split, is_attack FROM here WHERE split = 'test'
+      UNION ALL SELECT 'lineitem to events', 'external', is_attack FROM there
+      UNION ALL SELECT 'events to lineitem', 'validation', is_attack FROM there WHERE split = 'test'
+      UNION ALL SELECT 'events to lineitem', 'external', is_attack FROM here)
+  SELECT experiment, 'forest' AS model, split, count(*) AS n, count(*) FILTER (is_attack = 1) AS attacks, TRUE AS timed
+  FROM parts GROUP BY ALL""")
 def transfer_both_ways(spark, sf_dir):
     items = standins.lineitem_shared(spark, sf_dir)
     events = standins.events_shared(spark, sf_dir)
-    there = transfer(items, events, "lineitem to events", key=LINEITEM_KEY, forest=SMALL_FOREST)
-    back = transfer(events, items, "events to lineitem", key=["event_id"], forest=SMALL_FOREST)
-    return there.rows.unionByName(back.rows)
+    there = transfer(items, events, "lineitem to events", key=LINEITEM_KEY)
+    back = transfer(events, items, "events to lineitem", key=["event_id"])
+    return _part_sizes(there.rows.unionByName(back.rows))
 
 
-@query()
+@query(f"""WITH {TRANSFER_SPLIT} SELECT 'lineitem' AS experiment, unnest(['logistic', 'forest']) AS model, 'test' AS split,
+  (SELECT count(*) FROM marked WHERE split = 'test') AS n,
+  (SELECT count(*) FROM marked WHERE split = 'test' AND is_attack = 1) AS attacks, TRUE AS timed""")
 def binary_experiment(spark, sf_dir):
-    data = _shared_data(spark, sf_dir)
-    return binary_baselines(data, "is_attack", "lineitem", {"max_iter": 50}, SMALL_FOREST).rows
-
-
-@query()
+    return _part_sizes(binary_baselines(_shared_data(spark, sf_dir), "is_attack", "lineitem").rows)
+
+
+@query(f"""WITH {CLASS_SPLIT}, held AS (SELECT label, CAST(count(*) AS DOUBLE) AS n FROM marked WHERE split = 'test' GROUP BY ALL),
+    reduced AS (SELECT label, least(count(*), CASE WHEN label = 'BENIGN' THEN 100000 ELSE count(*) END) AS n
+      FROM marked WHERE split = 'train' GROUP BY ALL)
+  SELECT m.model, 'test' AS split, label AS class, 'support' AS metric, n AS value
+    FROM held, (SELECT unnest(['weighted', 'smote']) AS model) m
+  UNION ALL SELECT 'base', 'train', label, 'base_rows', n FROM reduced
+  UNION ALL SELECT 'base', 'train', '', 'base_rows', sum(n) FROM reduced
+  UNION ALL SELECT 'base', 'train', '', 'rare_classes', count(*) FILTER (n < 6) FROM reduced
+  UNION ALL SELECT 'base', 'train', label, 'dropped', 1 FROM reduced WHERE n < 6""")
 def multiclass_experiment(spark, sf_dir):
-    data = _class_data(spark, sf_dir)
-    return multiclass(
-        data, "label", "lineitem", L.BENIGN, key=LINEITEM_KEY, base_rows=1000, boost=SMALL_BOOST
-    ).rows
+    """Supports of both models, the size of the training base, and the classes it drops."""
+    rows = _class_models(spark, sf_dir)[1].rows
+    facts = "model = 'base' OR (metric = 'support' AND class NOT LIKE '% avg')"
+    return rows.filter(facts).select("model", "split", "class", "metric", "value")
 
 
 HELD_OUT_SQL = f"""WITH {O.split_ctes(O.EVENTS, 'is_attack', 'event_id')},
