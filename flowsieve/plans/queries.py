@@ -1203,7 +1203,7 @@ def binary_experiment(spark, sf_dir):
 
 @query(f"""WITH {CLASS_SPLIT}, held AS (SELECT label, CAST(count(*) AS DOUBLE) AS n FROM marked WHERE split = 'test' GROUP BY ALL),
     reduced AS (SELECT label, least(count(*), CASE WHEN label = 'BENIGN' THEN 100000 ELSE count(*) END) AS n
-      FROM marked WHERE split = 'train' GROUP BY ALL)
+      FROM marked WHERE split = 'train' GROUP BY label)
   SELECT m.model, 'test' AS split, label AS class, 'support' AS metric, n AS value
     FROM held, (SELECT unnest(['weighted', 'smote']) AS model) m
   UNION ALL SELECT 'base', 'train', label, 'base_rows', n FROM reduced
