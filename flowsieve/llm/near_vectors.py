@@ -113,9 +113,18 @@ def _seam(rows: pa.Table, part: int, side: int, arrow: pa.Schema) -> pa.RecordBa
 
 
 def _links(rows: pa.Table, old: int, cosine: float, window: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Links of the rows from ``old`` on with up to ``window`` rows before each."""
+    """Of the links of the rows from ``old`` on with up to ``window`` rows before each, as
+    many as connect these rows: a family in a window needs one link a row, not all pairs."""
     dims, turn = (rows.column(c).to_numpy() for c in ("dims", "turn"))
     reps, vectors = rows.column("rep").combine_chunks(), rows.column("vector").combine_chunks()
+    end = np.arange(len(dims))
+
+    def root(i: int) -> int:
+        while end[i] != i:
+            end[i] = end[end[i]]
+            i = end[i]
+        return i
+
     for d in np.unique(dims):
         at = np.flatnonzero(dims == d)
         x = _matrix(vectors.take(pa.array(at)))
@@ -123,10 +132,15 @@ def _links(rows: pa.Table, old: int, cosine: float, window: int, arrow: pa.Schem
             first, second = at[:-gap], at[gap:]
             near = (second >= old) & (second - first <= window) & (turn[first] == turn[second])
             near &= np.einsum("ij,ij->i", x[:-gap], x[gap:]) >= cosine
-            if near.any():
-                a, b = reps.take(pa.array(first[near])), reps.take(pa.array(second[near]))
-                n = len(a)
-                yield pa.RecordBatch.from_arrays([a, b, *(pa.nulls(n, f.type) for f in list(arrow)[2:])], schema=arrow)
+            kept = []
+            for a, b in zip(first[near], second[near]):
+                ends = root(a), root(b)
+                if ends[0] != ends[1]:
+                    end[ends[1]] = ends[0]
+                    kept.append((a, b))
+            if kept:
+                a, b = (reps.take(pa.array(side)) for side in zip(*kept))
+                yield pa.RecordBatch.from_arrays([a, b, *(pa.nulls(len(a), f.type) for f in list(arrow)[2:])], schema=arrow)
 
 
 def find_links(reps: DataFrame, cosine: float, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
