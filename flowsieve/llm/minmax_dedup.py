@@ -33,7 +33,7 @@ class _WordHashes(dict):
     """64-bit hashes of words met by a worker; starts afresh when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -20,6 +20,8 @@ from flowsieve.llm.token_memo import Memo, encode, load
 
 # Pieces which one task packs: it bounds memory and the search for the best bin.
 GROUP_PIECES = 8192
+# Whole words a worker remembers: fewer than cores, as they are cheap to make from these.
+WORD_ROOM = 200_000
 
 # ASCII signs that always form pieces of their own after a word (no apostrophe: contractions).
 _TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -69,7 +71,7 @@ def _words(path: str) -> Memo:
         cores.learn(part for pair in split for part in pair if part)
         return [(cores[a] if a else b"") + (cores[b] if b else b"") for a, b in split]
 
-    return Memo(make)
+    return Memo(make, WORD_ROOM)
 
 
 def word_ids(text: str, path: str) -> bytes:
