@@ -25,7 +25,10 @@ WORD_ROOM = 200_000
 
 # ASCII signs that always form pieces of their own after a word (no apostrophe: contractions).
 _TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-_SPECIAL = re.compile(r"<\|(start|end)oftext\|>")
+# In any case of letters: the library finds them before it lowers, so lowering must not make new ones.
+_SPECIAL = re.compile(r"<\|(start|end)oftext\|>", re.IGNORECASE)
+# Marks that compose with small letters where there is no capital (h, j, t, w, y).
+_MARKS = re.compile("[\u0300-\u036f]")
 
 
 def _id_bytes(ids: Sequence[int]) -> bytes:
@@ -33,7 +36,7 @@ def _id_bytes(ids: Sequence[int]) -> bytes:
 
 
 def core_ids(tokenizer, words: list[bytes]) -> list[bytes]:
-    """Ids of words that hold no blanks, A-Z already lowered.
+    """Ids of words that hold no blanks, A-Z already lowered in words of ASCII.
 
     A word of letters is one piece for the pre-tokenizer, so the model alone encodes
     it; Latin letters beyond ASCII are normalised many words at a time first.
@@ -64,9 +67,19 @@ def _words(path: str) -> Memo:
     tokenizer = load(path)
     cores = Memo(lambda words: core_ids(tokenizer, words))
 
+    @lru_cache(maxsize=None)
+    def ends(last: str) -> bool:
+        # Signs join into one piece, so only after other characters is a tail a piece of its own.
+        return tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(last + "."))[-1][0] == "."
+
+    def cut(word: bytes) -> tuple[bytes, bytes]:
+        core = word.rstrip(_TAIL)
+        whole = core and len(core) < len(word) and not core[-1:].isalnum() and not ends(core.decode()[-1])
+        return (word, b"") if whole else (core, word[len(core):])
+
     def make(words):
         # A word is its core and the signs that trail it; few cores are new.
-        split = [(w[: len(c)], w[len(c):]) for w, c in ((w, w.rstrip(_TAIL)) for w in words)]
+        split = [cut(w) for w in words]
         cores.trim()
         cores.learn(part for pair in split for part in pair if part)
         return [(cores[a] if a else b"") + (cores[b] if b else b"") for a, b in split]
@@ -77,12 +90,14 @@ def _words(path: str) -> Memo:
 def word_ids(text: str, path: str) -> bytes:
     """Ids of a text as little-endian 32-bit numbers, for a tokenizer that drops white
     space and case. Words never influence each other there, so they are looked up one
-    by one; a text with a special string goes to the tokenizer as it is."""
+    by one; a text with a special string, in whatever case, goes to the tokenizer as it is."""
     if _SPECIAL.search(text):
         return _id_bytes(load(path).encode(text, add_special_tokens=False).ids)
     memo = _words(path)
-    # ASCII letters may be lowered before normalisation: no composition depends on it.
-    words = [w for w in text.encode().lower().split() if w]
+    if not text.isascii() and _MARKS.search(text):
+        words = [w.lower() if w.isascii() else w for w in text.encode().split()]
+    else:  # ASCII letters may be lowered before normalisation: no composition depends on it
+        words = text.encode().lower().split()
     memo.learn(words)
     ids = b"".join(map(memo.__getitem__, words))
     memo.trim()

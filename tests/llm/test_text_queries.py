@@ -180,6 +180,8 @@ ODD_TEXTS = [
     "", " ", "  a  b ", "a\n b", "a \nb", "tab\there  and there", "x<|endoftext|>y <|endoftext|> z", "<|startoftext|> A",
     "it's IT'S we'll 12 3.5", "ÀÉ ́x İ ẞ K", "a　b   c", "!!! ...wow***  $$$", "\x1ca \x1d b", "word " * 3000, "<|ENDOFTEXT|> <|EndOfText|>",
     "".join(chr(c) for c in range(1, 700)), "日本語 テキスト", "'s 't ' s", "a'", "ends with space ", "\n\n", "emoji 👩‍👩‍👧 x",
+    "he said 'hello'.", "'hello',", "dogs'.", "“yes”,", "wow—!", "done….", "5€.", "50°,", "«oui».",
+    "x<|EndOfText|>y", "<|endoftext|> a<|STARTOFTEXT|>.", "H\u0331. T\u0308, J\u030c! W\u030a Y\u030a h\u0331. İ. e\u0301. \u0958. \u037e. \u1fef. K\u00a0. ΣΑΣ. 日本. ½. １. a\u200d.",
 ]
 
 
