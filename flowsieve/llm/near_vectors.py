@@ -14,8 +14,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from flowsieve.llm.common import map_batches, staged
 from flowsieve.llm.components import components
 
-#: Passes, bits of a pass's concatenated hash, and neighbours compared on each side in its order.
+#: Passes (least), bits of a pass's concatenated hash, and neighbours compared on each side in its order (least).
 PASSES, BITS, WINDOW = 24, 62, 24
+#: Mean chance with which a pair at the limit, without other relatives, is to be found.
+RECALL = 0.99
+#: Windows are widened, up to so many rows, while more passes than this would be needed.
+WIDE, MANY_PASSES = 6144, 48
+#: Passes that the density of the codes is read from.
+_PROBES = 3
 #: Rows of a block when the links inside a component are counted.
 BLOCK_ROWS = 512
 _SEED = 17
@@ -50,11 +56,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def sorted_passes(reps: DataFrame, passes: int) -> DataFrame:
+def centres(reps: DataFrame) -> dict[int, np.ndarray]:
+    """The mean vector of each length. A row per task and length reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            sizes = np.array([len(v) // 8 for v in batch.column("vector").to_pylist()])
+            for dims in map(int, np.unique(sizes)):
+                x = _matrix(batch.column("vector").take(pa.array(np.flatnonzero(sizes == dims))))
+                sums[dims] = sums.get(dims, 0) + np.append(x.sum(axis=0), len(x))
+        for dims, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["dims", "total"])
+
+    found: dict[int, np.ndarray] = {}
+    for r in reps.select("vector").mapInArrow(run, "dims int, total binary").collect():
+        found[r.dims] = found.get(r.dims, 0) + np.frombuffer(r.total, np.float64)
+    # Rounded, so that the order of the sums does not matter.
+    return {dims: np.round(total[:-1] / total[-1], 9) for dims, total in found.items()}
+
+
+def sorted_passes(reps: DataFrame, passes: int, centre: dict[int, np.ndarray]) -> DataFrame:
     """dims, turn, code, rep, vector: every vector once per pass with its concatenated hash.
 
-    The bits are the sides of random planes the vector lies on; sorted by code, vectors
-    that agree on a long row of leading bits are neighbours.
+    The bits are the sides of random planes through the mean of all vectors that the vector
+    lies on, as vectors that all lean one way would else share their codes; sorted by code,
+    vectors that agree on a long row of leading bits are neighbours.
     """
     schema = T.StructType([T.StructField("dims", T.IntegerType()), T.StructField("turn", T.IntegerType()), T.StructField("code", T.LongType()), reps.schema["rep"], T.StructField("vector", T.BinaryType())])
     arrow = to_arrow_schema(schema)
@@ -67,7 +94,7 @@ def sorted_passes(reps: DataFrame, passes: int) -> DataFrame:
                 part = batch.take(pa.array(np.flatnonzero(sizes == dims)))
                 x = _matrix(part.column("vector"))
                 for turn, planes in enumerate(_planes(passes, int(dims))):
-                    code = ((x @ planes.T) > 0).astype(np.int64) @ power
+                    code = (((x - centre[int(dims)]) @ planes.T) > 0).astype(np.int64) @ power
                     n = part.num_rows
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dims, np.int32)), pa.array(np.full(n, turn, np.int32)), pa.array(code), part.column("rep").cast(arrow.field("rep").type), part.column("vector")], schema=arrow)
 
@@ -128,26 +155,119 @@ def _links(rows: pa.Table, old: int, cosine: float, window: int, arrow: pa.Schem
     for d in np.unique(dims):
         at = np.flatnonzero(dims == d)
         x = _matrix(vectors.take(pa.array(at)))
-        for gap in range(1, min(window, len(at) - 1) + 1):
-            first, second = at[:-gap], at[gap:]
-            near = (second >= old) & (second - first <= window) & (turn[first] == turn[second])
-            near &= np.einsum("ij,ij->i", x[:-gap], x[gap:]) >= cosine
+        step = max(64, window)
+        for low in range(int(np.searchsorted(at, old)), len(at), step):
+            high, back = min(low + step, len(at)), max(0, low - window)
+            i, j = np.nonzero(x[low:high] @ x[back:high].T >= cosine)
+            first, second = at[back + j], at[low + i]
+            near = (first < second) & (second - first <= window) & (turn[first] == turn[second])
+            first, second = first[near], second[near]
             kept = []
-            for a, b in zip(first[near], second[near]):
-                ends = root(a), root(b)
-                if ends[0] != ends[1]:
-                    end[ends[1]] = ends[0]
-                    kept.append((a, b))
+            # Next neighbours first: in a family they connect all, which leaves no other pair to look at.
+            beside = second - first == 1
+            for part in (beside, ~beside):
+                a, b = first[part], second[part]
+                while len(a):
+                    ends = np.array([[root(p), root(q)] for p, q in zip(a[:256], b[:256])])
+                    for p, q, (m, n) in zip(a[:256], b[:256], ends):
+                        m, n = root(m), root(n)
+                        if m != n:
+                            end[n] = m
+                            kept.append((p, q))
+                    a, b = a[256:], b[256:]
+                    open_ = end[a] != end[b]
+                    a, b = a[open_], b[open_]
             if kept:
                 a, b = (reps.take(pa.array(side)) for side in zip(*kept))
                 yield pa.RecordBatch.from_arrays([a, b, *(pa.nulls(len(a), f.type) for f in list(arrow)[2:])], schema=arrow)
 
 
-def find_links(reps: DataFrame, cosine: float, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def _depths(reps: DataFrame, cosine: float, windows: list[int], centre: dict[int, np.ndarray]) -> dict[int, list[tuple[float, int, int]]]:
+    """Per window: chance of a bit to be alike in a pair at the limit, leading bits the pair must
+    agree on to be that near in the order, and rows of which this is so.
+
+    A row and the one a window on share some leading bits: with one more, a bucket is within
+    the window. Rows linked with the one a window on are left out, as their windows
+    hold their family. The distance to the mean gives the angle of a pair seen from there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, int, int], int] = {}
+        rest = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            rows = (new if rest is None else pa.concat_tables([rest, new])).combine_chunks()
+            old = 0 if rest is None else rest.num_rows
+            dims, turn, code = (rows.column(c).to_numpy() for c in ("dims", "turn", "code"))
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                x = _matrix(rows.column("vector").combine_chunks().take(pa.array(at)))
+                apart = ((x - centre[int(d)]) ** 2).sum(axis=1)
+                alike = 1 - np.arccos(np.clip(1 - (1 - cosine) / np.maximum(apart, 1e-9), -1, 1)) / np.pi
+                for w in windows:
+                    # Rows that have no row a window on in their pass need no bit at all.
+                    last = np.arange(max(0, old - w - int(at[0])) if old else 0, max(0, len(at) - w))
+                    last = last[(at[last + w] >= old) & (turn[at[last]] == turn[at[last + w]])]
+                    last = last[np.einsum("ij,ij->i", x[last], x[last + w]) < cosine]
+                    differ = (code[at[last]] ^ code[at[last + w]]).astype(np.float64)
+                    shared = np.where(differ > 0, BITS - np.frexp(differ)[1], BITS)
+                    for key, n in zip(*np.unique(np.column_stack([np.round(alike[last] * 50), np.minimum(shared + 1, BITS)]).astype(int), axis=0, return_counts=True)):
+                        counts[w, *map(int, key)] = counts.get((w, *map(int, key)), 0) + int(n)
+            rest = rows.slice(max(0, rows.num_rows - max(windows)))
+        if counts:
+            w, p, k = zip(*counts)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.int32()), pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(list(counts.values()), pa.int64())], ["window", "alike", "bits", "rows"])
+
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = sorted_passes(reps, _PROBES, centre).repartitionByRange(parts, "dims", "turn", "code", "rep").sortWithinPartitions("dims", "turn", "code", "rep")
+    found = ordered.select("dims", "turn", "code", "vector").mapInArrow(run, "window int, alike int, bits int, rows long")
+    out: dict[int, list[tuple[float, int, int]]] = {w: [] for w in windows}
+    for r in found.groupBy("window", "alike", "bits").agg(F.sum("rows").alias("rows")).collect():
+        out[r["window"]].append((r["alike"] / 50, r["bits"], r["rows"]))
+    return out
+
+
+def passes_for(depths: list[tuple[float, int, int]], recall: float = RECALL) -> int:
+    """Passes after which pairs at the limit are found with a mean chance of ``recall``."""
+    if not depths:
+        return 1
+    alike, bits, rows = (np.array(c, float) for c in zip(*depths))
+    hit = np.clip(alike, 0.5, 1 - 1e-12) ** bits
+
+    def enough(passes: int) -> bool:
+        return rows @ (1 - (1 - hit) ** passes) >= recall * rows.sum()
+
+    high = 1
+    while not enough(high):
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return high
+
+
+def plan(reps: DataFrame, cosine: float, centre: dict[int, np.ndarray], passes: int | None = None, window: int | None = None) -> tuple[int, int]:
+    """Passes and window for ``RECALL`` on this table, where they are not given: the least
+    window that needs at most ``MANY_PASSES``, else the widest with as many as it needs."""
+    if passes and window:
+        return passes, window
+    windows = [window] if window else [WINDOW << i for i in range(20) if WINDOW << i <= WIDE]
+    depths = _depths(reps, cosine, windows, centre)
+    for w in windows:
+        needed = passes or max(PASSES, passes_for(depths[w]))
+        if needed <= MANY_PASSES:
+            break
+    return needed, w
+
+
+def find_links(reps: DataFrame, cosine: float, passes: int | None = None, window: int | None = None) -> DataFrame:
     """Links (a, b) found by the sorted passes, each verified by its cosine. Partitions of
     the order overlap by a window, through their end rows; so partitions do not matter."""
     parts = reps.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = sorted_passes(reps, passes).repartitionByRange(int(parts), "dims", "turn", "code", "rep").sortWithinPartitions("dims", "turn", "code", "rep")
+    centre = centres(reps)
+    passes, window = plan(reps, cosine, centre, passes, window)
+    ordered = sorted_passes(reps, passes, centre).repartitionByRange(int(parts), "dims", "turn", "code", "rep").sortWithinPartitions("dims", "turn", "code", "rep")
     found = staged(_window_links(ordered, cosine, window), "window-links")
     links = found.where("b is not null").select("a", "b")
     ends = found.where("b is null")
@@ -204,12 +324,14 @@ def _count_blocks(members: DataFrame, cosine: float) -> DataFrame:
     return rows.groupBy("pair").applyInArrow(count, schema).groupBy("rep", "print").agg(F.sum("near").alias("near"))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, passes: int | None = None, window: int | None = None) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Equal vectors are one representative with a number of copies. Each pass sorts the
     representatives by the concatenated hashes of random planes and verifies neighbours
-    in a window; links of all passes are united to components. Links are then
+    in a window; links of all passes are united to components. Passes and window, unless
+    given, follow from the density of the codes, so that a pair at the limit is found with
+    a mean chance of ``RECALL`` at every size. Links are then
     counted whole inside each component, block against block, so a family larger than
     any window loses none of its links.
 

@@ -154,3 +154,21 @@ def test_pipeline_stages(spark, sf_dir, table):
     assert packed.length.sum() == sum(lengths[d] for d in mixed.doc_id)
     assert packed.groupby("sequence_id").length.sum().max() <= 4096
     assert len(corpus_pipeline.run(spark, sf_dir).columns) == len(frames[-1].columns)
+
+
+@pytest.mark.parametrize("lean", [0.0, 1.25])
+def test_planted_pairs_are_found_in_a_large_table(spark, lean):
+    """Isolated pairs at cosine 0.9, among vectors that lean no way or all one way (cosine 0.6)."""
+    draw, dims, n, pairs = np.random.default_rng(5), 64, 40_000, 500
+    x = draw.normal(size=(n, dims))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    way = np.zeros(dims)
+    way[0] = lean
+    x = x + way
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = draw.normal(size=(pairs, dims))
+    side -= (side * x[:pairs]).sum(axis=1)[:, None] * x[:pairs]
+    x[pairs : 2 * pairs] = 0.905 * x[:pairs] + np.sqrt(1 - 0.905**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    vectors = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.component_id for r in near_vectors.near_vectors(vectors.repartition(8)).where(f"vec_id < {2 * pairs}").collect()}
+    assert np.mean([found[i] == found[i + pairs] for i in range(pairs)]) >= 0.97
