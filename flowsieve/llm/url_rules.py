@@ -57,18 +57,20 @@ def _matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.where(F.size(F.array_except("items", "tokens")) == 0)
 
 
-def mine(labelled: DataFrame, support: float = 0.01, least: int = 20, confidence: float = 0.6, longest: int = 3) -> DataFrame:
+def mine(labelled: DataFrame, least: int = 20, confidence: float = 0.6) -> DataFrame:
     """Rules (items, anchor, blocked, seen, confidence) from ``labelled`` (url, block).
 
-    FP-growth finds the token combinations of at least ``support`` of the blocked URLs;
-    of these, combinations of up to ``longest`` tokens are counted among all labelled
-    URLs through the inverted index. Kept are those of ``least`` blocked URLs and a
-    confidence of ``confidence`` or more that no part of theirs reaches as well.
+    FP-growth finds the token combinations of at least ``least`` blocked URLs, however
+    many there are in all; they are counted among all labelled URLs through the inverted
+    index. Kept are those with a confidence of ``confidence`` or more that no part of
+    theirs reaches as well.
     """
     rows = staged(labelled.where("url is not null and block is not null").select(tokens(F.col("url")).alias("tokens"), "block"), "url-labels")
     blocked = rows.where("block").select("tokens")
+    # Half a URL below the floor: the share times the rows is rounded up.
+    support = min(1.0, (least - 0.5) / max(1, blocked.count()))
     model = FPGrowth(itemsCol="tokens", minSupport=support, minConfidence=confidence).fit(blocked)
-    combos = staged(model.freqItemsets.where((F.size("items") <= longest) & (F.col("freq") >= least)).select(F.array_sort("items").alias("items"), F.col("freq").alias("blocked")), "combinations")
+    combos = staged(model.freqItemsets.where(F.col("freq") >= least).select(F.array_sort("items").alias("items"), F.col("freq").alias("blocked")), "combinations")
     single = combos.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), F.col("blocked").alias("often"))
     rarest = combos.select("items", F.explode("items").alias("item")).join(single, "item").groupBy("items").agg(F.min_by("item", F.struct("often", "item")).alias("anchor"))
     rules = combos.join(rarest, "items")

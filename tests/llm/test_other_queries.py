@@ -107,6 +107,14 @@ def test_mined_url_rules(spark):
     assert judged == [(1, None, "block", "casino win")] * 2 + [(2, None, "allow", None), (3, None, "allow", None), (4, "net/es/", "allow", None)]
 
 
+def test_url_rules_hold_in_a_large_table_and_at_any_length(spark):
+    rows = [(f"http://x.org/n{i}", i % 2 == 0) for i in range(20_000)] + [(f"http://spamhost.org/m{i}", True) for i in range(20)]
+    rows += [(f"http://p/q/r/s/k{i}", True) for i in range(40)]
+    rows += [(f"http://{part}/k{i}", False) for part in ("p/q/r", "p/q/s", "p/r/s", "q/r/s") for i in range(40)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, block boolean"))
+    assert sorted((r["items"], r.blocked, r.seen) for r in rules.collect()) == [(["p", "q", "r", "s"], 40, 40), (["spamhost"], 20, 20)]
+
+
 def test_random_strings_are_told_from_identifiers(spark):
     draw = np.random.default_rng(1)
     key = lambda n: "".join(draw.choice(list("abcdef0123456789"), n))
