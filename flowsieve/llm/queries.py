@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the given tables, thin forms of the operators; and the pipeline."""
+"""Queries op1 to op13 over the given tables, thin forms of the operators; and the pipeline."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import fixity, minmax_dedup, mixing, near_vectors, packing, quality_rules, rule_ensemble, secrets, token_counts, url_rules
+from flowsieve.llm import fixity, hard_negatives, lexical_search, license_index, minmax_dedup, mixing, near_vectors, packing, quality_rules, rule_ensemble, secrets, token_counts, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,20 @@ def url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, URL_LIST, url_rules.mine(labelled))
 
 
+def hard_negative_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels move on by one where the id is divisible by 7; anchors are the ids divisible by 100."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+def license_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vector_links": near_vector_links,
     "op2_secret_models": secret_models,
@@ -92,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rule_ensemble": quality_rule_ensemble,
     "op9_minmax_near_duplicates": minmax_near_duplicates,
     "op10_url_association_rules": url_association_rules,
+    "op11_hard_negative_lists": hard_negative_lists,
+    "op12_dual_tree_search": dual_tree_search,
+    "op13_license_positions": license_positions,
 }
 ORACLES: dict[str, str] = {
     "op3_merkle_fixity": r"""
@@ -107,4 +124,47 @@ ORACLES: dict[str, str] = {
             CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS expected
         FROM records WHERE fate IN ('00', '01', '02', '03', '04')
     """,
+    "op11_hard_negative_lists": """
+        WITH r AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+            FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT anchor_id, other_id, score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS place
+            FROM s WHERE same),
+        n AS (
+            SELECT p.anchor_id, p.other_id AS positive_id, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id) AS place
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+            WHERE p.place <= 5 AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM n WHERE place <= 10
+    """,
+    "op12_dual_tree_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+        i AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        bag AS (SELECT item_id, term, count(*) AS repeats FROM i GROUP BY ALL),
+        size AS (SELECT count(*) FILTER (WHERE len(words) > 0) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_terms FROM d),
+        o AS (SELECT doc, doc_id, len(words) AS n, unnest(words) AS term FROM d),
+        tf AS (SELECT doc, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM o WHERE term IN (SELECT term FROM bag) GROUP BY doc, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term),
+        scored AS (
+            SELECT item_id, doc, any_value(doc_id) AS doc_id,
+                CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+            FROM tf JOIN w USING (term) JOIN bag USING (term), size GROUP BY item_id, doc),
+        ranked AS (
+            SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place
+            FROM scored WHERE score > 0)
+        SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 20
+    """,
 }
