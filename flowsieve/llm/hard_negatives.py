@@ -33,43 +33,65 @@ MEMBERS, STEP = 512, 2048
 NORM_LIMIT = float(1 << 28)
 LAST_ID = (1 << 63) - 1
 NEVER = (1 << 62) - 1
+Q = T.StructField("q", T.BinaryType())
 FOUND = "anchor long, want int, score long, id long, row long"
 
 
 def quantised(vectors: DataFrame, anchors: Column, scale: int) -> DataFrame:
-    """Rows that take part, numbered (row), with integer vectors q of one length."""
-    finite = F.forall("embedding", lambda v: F.coalesce(F.abs(v) < F.lit(float("inf")), F.lit(False)))
-    floors = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale))
-    norm2 = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + F.pow(F.floor(v.cast("double") * scale).cast("double"), F.lit(2.0)))
-    usable = F.col("label").isNotNull() & finite & (norm2 < NORM_LIMIT**2)
-    rows = vectors.where(F.coalesce(usable, F.lit(False))).select(
-        F.monotonically_increasing_id().alias("row"),
+    """Rows that take part, numbered (row), with integer vectors q as little-endian bytes."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("embedding")
+        lengths = pa.compute.list_value_length(lists).to_numpy()
+        x = np.floor(lists.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False) * scale)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        finite = np.isfinite(x)
+        with np.errstate(over="ignore"):
+            norm2 = np.bincount(row, np.where(finite, x, np.inf) ** 2, len(lengths))
+        usable = norm2 < NORM_LIMIT**2
+        offsets = np.r_[0, 4 * np.cumsum(lengths)].astype("<i4")
+        data = np.where(usable[row], x, 0).astype("<i4")
+        q = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        columns = [batch.column(c) for c in ("id", "label", "is_anchor")] + [q]
+        return pa.RecordBatch.from_arrays(columns, ["id", "label", "is_anchor", "q"]).filter(pa.array(usable))
+
+    named = vectors.where(F.col("label").isNotNull() & F.col("embedding").isNotNull()).select(
         F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST_ID)).alias("id"),
         F.col("label").cast("long").alias("label"),
-        F.transform(floors, lambda v: v.cast("int")).alias("q"),
         F.coalesce(anchors, F.lit(False)).alias("is_anchor"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
     )
-    rows = staged(rows, "quantised")
-    dims = rows.agg(F.max(F.size("q"))).first()[0] or 0
-    return rows.withColumn("q", F.concat("q", F.array_repeat(F.lit(0), F.lit(dims) - F.size("q"))))
+    return staged(map_batches(named, run, [*named.schema.fields[:3], Q]).withColumn("row", F.monotonically_increasing_id()), "quantised")
 
 
-def centres(rows: DataFrame, clusters: int, seed: int = 17) -> np.ndarray:
+def centres(rows: DataFrame, dims: int, clusters: int, seed: int = 17) -> np.ndarray:
     """Unit centres of k-means over at most SAMPLE_ROWS anchors, drawn by hash."""
-    pointing = rows.where("is_anchor").where(F.exists("q", lambda v: v != 0))
-    sample = pointing.orderBy(F.xxhash64("row"), "row").limit(SAMPLE_ROWS).select(array_to_vector("q").alias("features"))
-    sample = staged(sample, "anchor-sample")
-    if sample.isEmpty():
+
+    def pointing(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = _matrix(batch, dims).astype(np.float64)
+        lists = pa.FixedSizeListArray.from_arrays(x[x.any(axis=1)].ravel(), dims)
+        return pa.RecordBatch.from_arrays([lists.cast(pa.list_(pa.float64()))], ["x"])
+
+    drawn = rows.where("is_anchor").orderBy(F.xxhash64("row"), "row").limit(SAMPLE_ROWS).select("q")
+    if not dims or (sample := staged(map_batches(drawn, pointing, [T.StructField("x", T.ArrayType(T.DoubleType()))]), "anchor-sample")).isEmpty():
         return np.zeros((1, 0))
-    found = np.array(KMeans(k=clusters, maxIter=10, distanceMeasure="cosine", seed=seed).fit(sample).clusterCenters())
+    model = KMeans(k=clusters, maxIter=10, distanceMeasure="cosine", seed=seed).fit(sample.select(array_to_vector("x").alias("features")))
+    found = np.array(model.clusterCenters())
     norms = np.linalg.norm(found, axis=1)
     return found[norms > 0] / norms[norms > 0, None]
 
 
-def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+def _matrix(table: pa.Table | pa.RecordBatch, dims: int) -> np.ndarray:
+    """The integer vectors of a table, shorter ones padded with zeros."""
     column = table.column("q")
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    lengths = pa.compute.binary_length(column).to_numpy() // 4
+    flat = np.frombuffer(b"".join(v.as_buffer() for v in column), "<i4")
+    if (lengths == dims).all():
+        return flat.reshape(len(lengths), dims)
+    padded = np.zeros((len(lengths), dims), np.int32)
+    padded[np.arange(dims) < lengths[:, None]] = flat
+    return padded
 
 
 def _angles(x: np.ndarray, norms: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -91,7 +113,7 @@ class _List:
     """The shared list of one cluster part: a chunk's candidates by falling bound."""
 
     def __init__(self, members: np.ndarray, candidates: pa.Table, centre: np.ndarray):
-        x = _matrix(candidates).astype(np.float64)
+        x = _matrix(candidates, members.shape[1]).astype(np.float64)
         norms = np.sqrt((x * x).sum(axis=1))
         ids, rows = (candidates.column(c).to_numpy() for c in ("id", "row"))
         place = np.empty(len(x), np.int64)
@@ -147,7 +169,14 @@ class _List:
         return found
 
 
-def _cells(k: int, same: bool, heart: np.ndarray):
+def _limits(column: pa.ChunkedArray, missing: int) -> np.ndarray:
+    """A row of numbers per text of comma-separated ones."""
+    rows = [text.as_py().split(",") for text in column]
+    width = max(map(len, rows))
+    return np.array([r + [missing] * (width - len(r)) for r in rows]).astype(np.int64)
+
+
+def _cells(k: int, same: bool, heart: np.ndarray, dims: int):
     """The grouped function of a pass: one part of a cluster with one chunk of candidates."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -155,13 +184,11 @@ def _cells(k: int, same: bool, heart: np.ndarray):
         members, candidates = table.filter(sides), table.filter(pa.compute.invert(sides))
         out: list[list[np.ndarray]] = [[] for _ in range(5)]
         if members.num_rows and candidates.num_rows:
-            x = _matrix(members).astype(np.float64)
+            x = _matrix(members, dims).astype(np.float64)
             shared = _List(x, candidates, heart[key[0].as_py()])
             rows, labels = members.column("row").to_numpy(), members.column("label").to_numpy()
-            width = max(len(f) for f in members.column("floors").to_pylist())
-            floors, caps = np.full((len(x), width), NEVER), np.full((len(x), width), -NEVER)
-            for i, (f, c) in enumerate(zip(members.column("floors").to_pylist(), members.column("caps").to_pylist())):
-                floors[i, : len(f)], caps[i, : len(c)] = f, c
+            floors, caps = _limits(members.column("floors"), NEVER), _limits(members.column("caps"), -NEVER)
+            width = floors.shape[1]
             for start in range(0, len(x), MEMBERS):
                 part = slice(start, start + MEMBERS)
                 number, score, at = shared.walk(x[part], rows[part], labels[part], floors[part], caps[part], k, same)
@@ -186,9 +213,11 @@ def _first(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _search(members: DataFrame, rows: DataFrame, pieces: list[tuple[int, int]], chunks: int, heart: np.ndarray, k: int, same: bool) -> DataFrame:
+def _search(members: DataFrame, rows: DataFrame, pieces: list[tuple[int, int]], chunks: int, heart: np.ndarray, dims: int, k: int, same: bool) -> DataFrame:
     """anchor, want, score, id, row, rank: the k best of each want of ``members`` over all rows."""
-    none = F.lit(None).cast("array<bigint>")
+    # Lists travel as text: the size of an Arrow batch with list columns is slow to find.
+    none = F.lit(None).cast("string")
+    texts = [F.concat_ws(",", F.transform(c, lambda v: v.cast("string"))).alias(c) for c in ("floors", "caps")]
     shared = ["row", "id", "label", "q"]
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int"))
     places = F.explode(F.array(*[F.struct(F.lit(c).alias("cluster"), F.lit(p).alias("piece")) for c, p in pieces]))
@@ -201,10 +230,10 @@ def _search(members: DataFrame, rows: DataFrame, pieces: list[tuple[int, int]],
             lists = weakest.groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("want", "s"))).alias("kept"))
             raised = F.transform("floors", lambda f, i: F.greatest(f, F.element_at("kept", i)))
             open_ = members.join(lists, F.col("row") == F.col("anchor"), "left").withColumn("floors", F.when(F.col("kept").isNull(), F.col("floors")).otherwise(raised))
-        left = open_.withColumn("chunk", F.explode(F.sequence(F.lit(start), F.lit(stop - 1)))).select("cluster", "piece", "chunk", *shared, "floors", "caps")
+        left = open_.withColumn("chunk", F.explode(F.sequence(F.lit(start), F.lit(stop - 1)))).select("cluster", "piece", "chunk", *shared, *texts)
         right = chunked.where(F.col("chunk").between(start, stop - 1)).withColumn("place", places)
         right = right.select("place.cluster", "place.piece", "chunk", *shared, none.alias("floors"), none.alias("caps"))
-        found = left.unionByName(right).groupBy("cluster", "piece", "chunk").applyInArrow(_cells(k, same, heart), FOUND)
+        found = left.unionByName(right).groupBy("cluster", "piece", "chunk").applyInArrow(_cells(k, same, heart, dims), FOUND)
         if best is not None:
             found = found.unionByName(best.drop("rank"))
         best = staged(_first(found, k), "walked")
@@ -233,10 +262,12 @@ def mine(
     result. There are no texts.
     """
     rows = quantised(vectors, anchors, scale)
-    heart = centres(rows, clusters)
+    n_rows, longest = rows.agg(F.count(F.lit(1)), F.max(F.octet_length("q"))).first()
+    dims = (longest or 0) // 4
+    heart = centres(rows, dims, clusters)
 
     def nearest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = _matrix(batch).astype(np.float64)
+        x = _matrix(batch, dims).astype(np.float64)
         cluster = (x @ heart.T).argmax(axis=1) if heart.shape[1] else np.zeros(len(x), np.int64)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(cluster, pa.int32())], [*batch.schema.names, "cluster"])
 
@@ -244,7 +275,7 @@ def mine(
     placed = staged(map_batches(own, nearest, [*own.schema.fields, T.StructField("cluster", T.IntegerType())]), "anchors")
     sizes = {r["cluster"]: r["count"] for r in placed.groupBy("cluster").count().collect()}  # at most ``clusters`` rows
     pieces = {c: -(-n // part_rows) for c, n in sizes.items()}
-    chunks = max(1, -(-rows.count() // chunk_rows))
+    chunks = max(1, -(-n_rows // chunk_rows))
     schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if not pieces:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -252,13 +283,13 @@ def mine(
     members = placed.withColumn("piece", F.pmod(F.xxhash64("row", F.lit(1)), F.element_at(per, F.col("cluster"))).cast("int"))
     cells = [(c, p) for c, n in pieces.items() for p in range(n)]
     anyone = members.withColumns({"floors": F.array(F.lit(-NEVER)), "caps": F.array(F.lit(NEVER))})
-    near = _search(anyone, rows, cells, chunks, heart, positives, same=True)
+    near = _search(anyone, rows, cells, chunks, heart, dims, positives, same=True)
 
     listed = near.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("rank", "score"))).alias("list"))
     floor = F.expr(f"transform(list, p -> IF(p.score < 0, {NEVER}L, ({low} * p.score + 99) div 100))")
     cap = F.expr(f"transform(list, p -> ({high} * p.score) div 100)")
     bounded = members.join(listed.select("anchor", floor.alias("floors"), cap.alias("caps")), F.col("row") == F.col("anchor")).drop("anchor")
-    hard = _search(staged(bounded, "windows"), rows, cells, chunks, heart, negatives, same=False)
+    hard = _search(staged(bounded, "windows"), rows, cells, chunks, heart, dims, negatives, same=False)
 
     def plain(column: str) -> Column:
         return F.when(F.col(column) != LAST_ID, F.col(column))

@@ -200,13 +200,11 @@ def _searched(postings: DataFrame, items: Items, limits: np.ndarray, k: int, n_d
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH_DOCS):
                 batch = whole.slice(start, BATCH_DOCS)
-                lists, n = batch.column("terms"), batch.column("n").to_numpy()
-                lengths = pa.compute.list_value_length(lists).to_numpy()
-                doc = np.repeat(np.arange(len(n)), lengths)
-                tf = batch.column("tfs").flatten().to_numpy().astype(np.int64)
+                n, tf = batch.column("n").to_numpy(), _numbers(batch.column("tfs")).astype(np.int64)
+                doc = np.repeat(np.arange(len(n)), pa.compute.binary_length(batch.column("terms")).to_numpy() // 4)
                 m = 100 - 25 + (25 * n * n_docs) // n_terms
                 value = (1_000_000_000 * tf) // (1000 * tf + 12 * m[doc])
-                walk(tree, best, batch.column("id").to_numpy(), doc, lists.flatten().to_numpy(), value)
+                walk(tree, best, batch.column("id").to_numpy(), doc, _numbers(batch.column("terms")), value)
         rows = np.vstack(best.rows)
         item = np.repeat(np.arange(items.n), [len(r) for r in best.rows])
         if len(rows):
@@ -216,8 +214,16 @@ def _searched(postings: DataFrame, items: Items, limits: np.ndarray, k: int, n_d
     return postings.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """All numbers of a column of packed lists."""
+    return np.frombuffer(b"".join(v.as_buffer() for v in column), "<i4")
+
+
 def _postings(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """id, n (terms with repeats), terms and tfs (of the vocabulary) of every document."""
+    """id, n (terms with repeats), terms and tfs (of the vocabulary) of every document.
+
+    Lists are packed as little-endian bytes: Arrow batches with list columns are slow.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, found, counts = [], [], []
@@ -225,13 +231,12 @@ def _postings(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
             seen = Counter(terms(text))
             sizes.append(sum(seen.values()))
             ours = [(vocabulary[t], n) for t, n in seen.items() if t in vocabulary]
-            found.append([t for t, _ in ours])
-            counts.append([n for _, n in ours])
-        lists = [pa.array(x, pa.list_(pa.int32())) for x in (found, counts)]
+            found.append(np.array([t for t, _ in ours], "<i4").tobytes())
+            counts.append(np.array([n for _, n in ours], "<i4").tobytes())
+        lists = [pa.array(x, pa.binary()) for x in (found, counts)]
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), *lists], ["id", "n", "terms", "tfs"])
 
-    ints = T.ArrayType(T.IntegerType())
-    fields = [T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("terms", ints), T.StructField("tfs", ints)]
+    fields = [T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("terms", T.BinaryType()), T.StructField("tfs", T.BinaryType())]
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text")
     return staged(map_batches(named, run, fields), "postings")
 
@@ -242,14 +247,20 @@ def _search_block(docs: DataFrame, block: list, k: int) -> DataFrame:
     vocabulary = {t: i for i, t in enumerate(sorted({bytes(t) for r in block for t in r["terms"]}))}
     postings = _postings(docs, vocabulary)
     n_docs, n_terms = postings.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def held(batch: pa.RecordBatch) -> pa.RecordBatch:
+        term, n = np.unique(_numbers(batch.column("terms")), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(n, pa.int64())], ["t", "n"])
+
+    counts = map_batches(postings.select("terms"), held, [T.StructField("t", T.IntegerType()), T.StructField("n", T.LongType())])
     # A row per term of the block at most.
-    df = {r["t"]: r["count"] for r in postings.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
+    df = {r["t"]: r["n"] for r in counts.groupBy("t").agg(F.sum("n").alias("n")).collect()}
     weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
     entries = [(i, t, weight[t] * n) for i, r in enumerate(block) for t, n in zip(map(vocabulary.get, map(bytes, r["terms"])), r["repeats"]) if weight.get(t)]
     if not entries:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     items = Items(len(block), len(vocabulary), *np.array(entries, np.int64).T)
-    scored = postings.where(F.size("terms") > 0)
+    scored = postings.where(F.octet_length("terms") > 0)
     limits = np.ones(items.n, np.int64)
     pilot = _searched(scored.where(F.pmod(F.xxhash64("id", "n"), F.lit(PILOT)) == 0), items, limits, k, n_docs, n_terms)
     for r in pilot.where(F.col("rank") == k).collect():  # a row per item of the block at most

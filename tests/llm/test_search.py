@@ -72,7 +72,7 @@ def test_walks_end_early():
     x = np.vstack([np.eye(8)[i % 8] * 256 + draw.normal(size=8) for i in range(4000)]).round()
     import pyarrow as pa
 
-    table = pa.table({"q": pa.array(x.astype(int).tolist(), pa.list_(pa.int32())), "id": np.arange(4000), "row": np.arange(4000), "label": np.zeros(4000, int)})
+    table = pa.table({"q": [r.tobytes() for r in x.astype("<i4")], "id": np.arange(4000), "row": np.arange(4000), "label": np.zeros(4000, int)})
     member = x[:1].astype(float)
     shared = hard_negatives._List(member, table, np.eye(8)[0])
     read = []
