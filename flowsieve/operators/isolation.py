@@ -173,7 +173,7 @@ class IsolationForest:
         return df.withColumn(out, self.score_column(df.sparkSession))
 
     def offsets(
-        self, train: DataFrame, contaminations: Sequence[float] = SWEEP, method: str = "auto"
+        self, train: DataFrame, contaminations: Sequence[float] = SWEEP, method: str = "exact"
     ) -> dict[float, float]:
         """Outlier thresholds of several contamination levels from one scored pass."""
         scores = stage(train.select(self.score_column(train.sparkSession).alias("score")), "scores")

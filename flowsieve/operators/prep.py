@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import numeric_columns, ref
-from flowsieve.operators.quantiles import quantiles
+from flowsieve.operators.quantiles import OrderStatistics, interpolated, quantiles, ranks
 from flowsieve.session import local_frame
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -19,10 +19,6 @@ NO_SPREAD = 10 * sys.float_info.epsilon
 NULL_NAME = "nan"
 
 
-def medians(df: DataFrame, columns: Sequence[str], method: str = "auto") -> dict[str, float | None]:
-    return {c: v[0] for c, v in quantiles(df, columns, [0.5], method).items()}
-
-
 def any_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: for each column, whether it holds a NULL."""
     return df.agg(*[F.coalesce(F.bool_or(ref(c).isNull()), F.lit(False)).alias(c) for c in columns])
@@ -33,6 +29,8 @@ class OneHot:
     """Categories of the training rows in sorted order, NULL last; the first is dropped."""
 
     categories: dict[str, list[str | None]]
+    # Training rows of each category, where it was fitted here.
+    counts: dict[str, list[int]] = field(default_factory=dict, compare=False)
 
     @classmethod
     def fit(cls, train: DataFrame, columns: Sequence[str]) -> OneHot:
@@ -47,10 +45,20 @@ class OneHot:
         # Every category becomes a column, so the driver holds their names in any case.
         rows = distinct.agg(F.count(F.lit(1)).alias("n")).collect()
         found: dict[str, list[str | None]] = {}
+        counts: dict[str, list[int]] = {}
         for c in present:
-            values = [r["value"] for r in rows if r["name"] == c]
-            found[c] = sorted(v for v in values if v is not None) + [None] * (None in values)
-        return cls(found)
+            seen = {r["value"]: r["n"] for r in rows if r["name"] == c}
+            found[c] = sorted(v for v in seen if v is not None) + [None] * (None in seen)
+            counts[c] = [seen[v] for v in found[c]]
+        return cls(found, counts)
+
+    def flags(self) -> dict[str, tuple[int, int]]:
+        """Training rows of each 0/1 column: how many are 1, and all."""
+        return {
+            name: (ones, sum(counts))
+            for (c, counts) in self.counts.items()
+            for name, ones in zip(self._names(c), counts[1:])
+        }
 
     def save(self, spark: SparkSession, path: str) -> None:
         """One row per category, in order; a table without rows for no columns."""
@@ -65,12 +73,11 @@ class OneHot:
             found.setdefault(r["feature"], []).append(r["category"])
         return cls(found)
 
+    def _names(self, c: str) -> list[str]:
+        return [f"{c}_{NULL_NAME if v is None else v}" for v in self.categories[c][1:]]
+
     def names(self) -> list[str]:
-        return [
-            f"{c}_{NULL_NAME if v is None else v}"
-            for c, values in self.categories.items()
-            for v in values[1:]
-        ]
+        return [name for c in self.categories for name in self._names(c)]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Replace the columns by 0/1 columns; an unknown category is all zeros."""
@@ -83,6 +90,15 @@ class OneHot:
         return df.select(*kept, *[f.alias(n) for f, n in zip(flags, self.names())])
 
 
+def _after_filling(order: OrderStatistics, c: str, rank: int, median: float) -> float:
+    filled, gaps = order.filled[c], order.rows - order.filled[c]
+    if rank < filled and order.value(c, rank) < median:
+        return order.value(c, rank)
+    if rank >= gaps and order.value(c, rank - gaps) > median:
+        return order.value(c, rank - gaps)
+    return median
+
+
 @dataclass(frozen=True)
 class FeaturePrep:
     """Fitted medians, centres and spreads. Fit on training rows, apply to any rows."""
@@ -94,24 +110,30 @@ class FeaturePrep:
 
     @classmethod
     def fit(
-        cls, train: DataFrame, columns: Sequence[str] | None = None, method: str = "auto"
+        cls,
+        train: DataFrame,
+        columns: Sequence[str] | None = None,
+        method: str = "exact",
+        flags: Mapping[str, tuple[int, int]] | None = None,
     ) -> FeaturePrep:
-        """Quartiles of all columns, then once more of those which need imputation.
+        """Quartiles of all columns, before and after imputation, from two passes.
 
-        A column without a single value in training has no median: it is listed
-        in ``empty`` and left out by ``transform``.
+        ``flags`` names 0/1 columns whose counts are known (``OneHot.flags``): their
+        quartiles take no pass. ``approx`` takes sketches. A column without a single
+        value in training has no median: it is listed in ``empty`` and left out by
+        ``transform``.
         """
         columns = list(columns if columns is not None else numeric_columns(train))
-        counted = train.agg(F.count(F.lit(1)), *[F.count(ref(c)) for c in columns]).first()
-        rows, filled = counted[0], dict(zip(columns, counted[1:]))
-        present = [c for c in columns if filled[c]]
-        quarters = quantiles(train, present, QUARTILES, method, rows)
-        median = {c: quarters[c][1] for c in present}
-        holed = [c for c in present if filled[c] < rows]
-        if holed:
-            imputed = [F.coalesce(ref(c), F.lit(median[c])).alias(c) for c in holed]
-            quarters.update(quantiles(train.select(*imputed), holed, QUARTILES, method, rows))
-        empty = [c for c in columns if not filled[c]]
+        known = {c: flags[c] for c in columns if c in (flags or {})}
+        measured = [c for c in columns if c not in known]
+        if method == "approx":
+            median, quarters, empty = cls._approximate(train, measured)
+        else:
+            median, quarters, empty = cls._exact(train, measured)
+        for c, (ones, rows) in known.items():
+            quarters[c] = [interpolated(p, rows, lambda r: float(r >= rows - ones)) for p in QUARTILES]
+            median[c] = quarters[c][1]
+        median = {c: median[c] for c in columns if c in median}
         spread = {c: quarters[c][2] - quarters[c][0] for c in median}
         return cls(
             median,
@@ -120,6 +142,38 @@ class FeaturePrep:
             empty,
         )
 
+    @staticmethod
+    def _exact(train: DataFrame, columns: list[str]) -> tuple[dict, dict, list[str]]:
+        """Medians of the values there are, quartiles once the gaps are filled with them.
+
+        Filling in the median moves ranks but makes no new value: at a rank of the
+        filled column stands the value of that rank while it is below the median, the
+        value of that rank less the gaps where it is above, and the median between.
+        """
+        if not columns:
+            return {}, {}, []
+        order = OrderStatistics(train, columns)
+        rows, filled = order.rows, order.filled
+        present = [c for c in columns if filled[c]]
+        wanted = {}
+        for c in present:
+            after = [r for p in QUARTILES for r in ranks(p, rows)]
+            moved = [r - (rows - filled[c]) for r in after]
+            wanted[c] = {r for r in (*after, *moved, *ranks(0.5, filled[c])) if 0 <= r < filled[c]}
+        order.find(wanted)
+        median, quarters = {}, {}
+        for c in present:
+            median[c] = interpolated(0.5, filled[c], lambda r: order.value(c, r))
+            quarters[c] = [interpolated(p, rows, lambda r: _after_filling(order, c, r, median[c])) for p in QUARTILES]
+        return median, quarters, [c for c in columns if not filled[c]]
+
+    @staticmethod
+    def _approximate(train: DataFrame, columns: list[str]) -> tuple[dict, dict, list[str]]:
+        first = quantiles(train, columns, [0.5], "approx")
+        median = {c: v[0] for c, v in first.items() if v[0] is not None}
+        imputed = train.select(*[F.coalesce(ref(c).cast("double"), F.lit(m)).alias(c) for c, m in median.items()])
+        return median, quantiles(imputed, list(median), QUARTILES, "approx"), [c for c in columns if c not in median]
+
     @property
     def features(self) -> list[str]:
         return list(self.median)

@@ -1,199 +1,233 @@
-"""Quantiles of many columns at once, exact at any table size."""
+"""Quantiles of many columns at once, exact at any table size.
+
+Two passes over the table serve all columns, probabilities and ranks. The first takes
+one sketch per column, which gives its values at evenly spaced ranks, the pins. The
+second counts the rows at and between the pins around each wanted rank and writes out
+the few values strictly between them. A rank that falls on a pin is known by then; the
+others are looked up among the written values, which are narrowed by further pins while
+more of them are left than one task should rank.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import ref
-from flowsieve.session import local_frame
-
-# Entries of all value-to-count maps together which fit the memory of one task.
-MAP_ENTRIES = 2_000_000
-# Relative error of the distinct counts which size the maps.
-DISTINCT_ERROR = 0.2
-ACCURACY = 10_000
-# Values left between the bounds of one target before they are ranked.
-BRACKET_ROWS = 50_000
-
+from flowsieve.session import local_frame, stage
 
-@dataclass
-class _Target:
-    """Ranks ``rank`` and ``rank + 1`` of one column, known to lie in [low, high]."""
+ACCURACY = 4_000
+# Pins of a first sketch, and of each narrowing of what lies between two of them.
+GRID, FINE_GRID = 1_000, 64
+# Written values between two pins which one task may rank.
+RANKED_ROWS = 50_000
 
-    column: str
-    rank: int
-    weight: float
-    rows: int
-    low: float
-    high: float
-    below: int = 0
-    inside: int = 0
-    settled: bool = False
+Interval = tuple[int, int]  # column, code: 2k lies below pin k (above pin k - 1), 2k + 1 on it
 
 
 def quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    method: str = "auto",
-    rows: int | None = None,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], method: str = "exact", ranked_rows: int = RANKED_ROWS
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of the non-null values of each column.
 
-    ``exact`` counts values in one map per column, ``bracket`` narrows bounds
-    with sketches and ranks only the values between them (exact too), ``approx``
-    takes the sketch itself. ``auto`` stays exact: columns of few distinct
-    values go by maps, whatever their rows, the others by brackets. ``rows``
-    saves it from counting a small table.
+    ``exact`` reads the table twice; ``approx`` takes one sketch. A column without
+    values has None for each probability.
     """
-    columns = list(columns)
-    if method == "auto":
-        mapped = _mappable(df, columns, rows)
-        bracketed = [c for c in columns if c not in mapped]
-        return quantiles(df, mapped, probs, "exact") | _bracketed(df, bracketed, probs)
-    if method == "bracket":
-        return _bracketed(df, columns, probs)
-    if not columns:
-        return {}
-    points = F.array(*[F.lit(float(p)) for p in probs])
-    if method == "exact":
-        aggregates = [F.percentile(ref(c).cast("double"), points) for c in columns]
-    elif method == "approx":
-        aggregates = [
-            F.percentile_approx(ref(c).cast("double"), list(map(float, probs)), ACCURACY)
-            for c in columns
-        ]
-    else:
+    if method == "approx":
+        return _approximate(df, columns, probs)
+    if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
-    row = df.agg(*[a.alias(f"q{i}") for i, a in enumerate(aggregates)]).first()
-    return {c: list(v) if v is not None else [None] * len(probs) for c, v in zip(columns, row)}
+    order = OrderStatistics(df, columns, ranked_rows)
+    order.find({c: [r for p in probs for r in ranks(p, order.filled[c])] for c in columns})
+    return {c: [interpolated(p, order.filled[c], lambda r: order.value(c, r)) for p in probs] for c in columns}
 
 
-def _mappable(df: DataFrame, columns: list[str], rows: int | None) -> list[str]:
-    """Columns, fewest distinct values first, whose maps fit together."""
-    if rows is not None and rows * len(columns) <= MAP_ENTRIES:
-        return columns
-    if not columns:
-        return []
-    distinct = df.agg(*[F.approx_count_distinct(ref(c), DISTINCT_ERROR) for c in columns]).first()
-    fitting, entries = [], 0
-    for values, c in sorted(zip(distinct, columns)):
-        entries += values
-        if entries > MAP_ENTRIES:
-            break
-        fitting.append(c)
-    return fitting
-
-
-def _bracketed(
-    df: DataFrame, columns: list[str], probs: Sequence[float]
-) -> dict[str, list[float | None]]:
+def _approximate(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     if not columns:
         return {}
-    base = df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    names = {c: f"c{i}" for i, c in enumerate(columns)}
-    stats = base.agg(
-        *[F.count(n).alias(f"n_{n}") for n in names.values()],
-        *[F.min(n).alias(f"lo_{n}") for n in names.values()],
-        *[F.max(n).alias(f"hi_{n}") for n in names.values()],
-    ).first()
-    targets: dict[tuple[str, float], _Target] = {}
-    for c, name in names.items():
-        rows = stats[f"n_{name}"]
-        if not rows:
-            continue
-        for p in probs:
-            position = p * (rows - 1)
-            rank = min(math.floor(position), rows - 1)
-            targets[c, p] = _Target(
-                name, rank, position - rank, rows, stats[f"lo_{name}"], stats[f"hi_{name}"],
-                inside=rows,
-            )
-    todo = list(targets.values())
-    while True:
-        wide = [t for t in todo if not t.settled and t.inside > BRACKET_ROWS and t.low < t.high]
-        if not wide:
-            break
-        _narrow(base, wide)
-    values = _ranked_values(base, todo)
-    result: dict[str, list[float | None]] = {}
-    for c in columns:
-        result[c] = []
-        for p in probs:
-            target = targets.get((c, p))
-            if target is None:
-                result[c].append(None)
-                continue
-            low, high = values[id(target)]
-            result[c].append(low if target.weight == 0 else low + (high - low) * target.weight)
-    return result
-
-
-def _between(t: _Target):
-    return (F.col(t.column) >= F.lit(t.low)) & (F.col(t.column) <= F.lit(t.high))
-
-
-def _narrow(base: DataFrame, targets: list[_Target]) -> None:
-    """Shrink the bounds of every target by one sketch pass and one counting pass."""
-    margin = 2.0 / ACCURACY
-    sketches = []
-    for i, t in enumerate(targets):
-        inner = t.rank - t.below
-        low = max(0.0, inner / t.inside - margin)
-        high = min(1.0, (inner + 2) / t.inside + margin)
-        value = F.when(_between(t), F.col(t.column))
-        sketches.append(F.percentile_approx(value, [low, high], ACCURACY).alias(f"s{i}"))
-    bounds = base.agg(*sketches).first()
-    counts = []
-    for i, (t, b) in enumerate(zip(targets, bounds)):
-        inside = (F.col(t.column) >= F.lit(b[0])) & (F.col(t.column) <= F.lit(b[1]))
-        counts.append(F.count_if(F.col(t.column) < F.lit(b[0])).alias(f"below{i}"))
-        counts.append(F.count_if(inside).alias(f"inside{i}"))
-    counted = base.agg(*counts).first()
-    for i, (t, b) in enumerate(zip(targets, bounds)):
-        below, inside = counted[f"below{i}"], counted[f"inside{i}"]
-        holds = below <= t.rank and below + inside >= min(t.rank + 2, t.rows)
-        if holds and inside < t.inside:
-            t.low, t.high, t.below, t.inside = b[0], b[1], below, inside
-        else:
-            # Repeated values: the sketch cannot cut further, the ranking counts them.
-            t.settled = True
-
-
-def _ranked_values(base: DataFrame, targets: list[_Target]) -> dict[int, tuple[float, float]]:
-    """Values at the two ranks of each target; equal values combine before the shuffle."""
-    cells = [
-        F.when(_between(t), F.struct(F.lit(i).alias("target"), F.col(t.column).alias("value")))
-        for i, t in enumerate(targets)
-    ]
-    if not cells:
+    points = list(map(float, probs))
+    row = df.agg(*[F.percentile_approx(ref(c).cast("double"), points, ACCURACY).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    return {c: list(v) if v is not None else [None] * len(points) for c, v in zip(columns, row)}
+
+
+def ranks(p: float, rows: int) -> tuple[int, ...]:
+    """The ranks (from 0) between which the quantile ``p`` of so many rows lies."""
+    if not rows:
+        return ()
+    low = min(math.floor(p * (rows - 1)), rows - 1)
+    return low, min(low + 1, rows - 1)
+
+
+def interpolated(p: float, rows: int, value) -> float | None:
+    """The quantile ``p`` from ``value``, which gives the value at a rank."""
+    if not rows:
+        return None
+    low, high = ranks(p, rows)
+    weight = p * (rows - 1) - low
+    return value(low) if weight == 0 else value(low) + (value(high) - value(low)) * weight
+
+
+class OrderStatistics:
+    """Sketches of all columns, then the exact values at any ranks.
+
+    ``rows`` counts the table, ``filled`` the non-null values of each column. ``find``
+    looks up ranks (from 0, among the non-null values in ascending order), ``value``
+    returns them.
+    """
+
+    def __init__(self, df: DataFrame, columns: Sequence[str], ranked_rows: int = RANKED_ROWS):
+        self.columns, self.ranked_rows = list(columns), ranked_rows
+        self.base = df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(self.columns)])
+        # The evenly spaced ranks as one text: hundreds of literals a column would swell the plan.
+        even = "cast(split('" + ",".join(str(i / GRID) for i in range(GRID + 1)) + "', ',') as array<double>)"
+        sketches = [F.expr(f"percentile_approx(c{i}, {even}, {ACCURACY})").alias(f"s{i}") for i in range(len(self.columns))]
+        counts = [F.count(f"c{i}").alias(f"n{i}") for i in range(len(self.columns))]
+        row = self.base.agg(F.count(F.lit(1)).alias("rows"), *counts, *sketches).first()
+        self.rows: int = row["rows"]
+        self.filled = {c: row[f"n{i}"] for i, c in enumerate(self.columns)}
+        self._grid = [row[f"s{i}"] for i in range(len(self.columns))]
+        self._found: dict[tuple[int, int], float] = {}
+
+    def value(self, column: str, rank: int) -> float:
+        return self._found[self.columns.index(column), rank]
+
+    def find(self, wanted: Mapping[str, Iterable[int]]) -> None:
+        """One pass over the table for all ranks of all columns."""
+        todo = {(self.columns.index(c), r) for c, found in wanted.items() for r in found} - self._found.keys()
+        pins = {c: self._pins(c, {r for k, r in todo if k == c}) for c in {c for c, _ in todo}}
+        # Intervals on both sides of a pin next to a wanted rank are written out.
+        written = {c: {2 * k for k in range(len(p) + 1)} - self._outer(c, p, {r for k, r in todo if k == c}) for c, p in pins.items()}
+        while todo:
+            between = stage(_split(self.base, pins, written), "between-pins")
+            sums = between.where(F.col("value").isNull()).groupBy("col", "code").agg(F.sum("n").alias("n"))
+            counts = {(r["col"], r["code"]): r["n"] for r in sums.collect()}  # a few rows per column
+            inner: dict[Interval, set[int]] = {}
+            for c, rank in todo:
+                code, below = self._interval(c, rank, counts, 2 * len(pins[c]) + 1)
+                if code % 2:
+                    self._found[c, rank] = float(pins[c][code // 2])
+                elif code in written[c]:
+                    inner.setdefault((c, code), set()).add(rank - below)
+            values = _ranked(between, inner, {i: counts[i] for i in inner}, self.ranked_rows)
+            missed = set()
+            for c, rank in todo:
+                code, below = self._interval(c, rank, counts, 2 * len(pins[c]) + 1)
+                if code % 2 == 0 and code in written[c]:
+                    self._found[c, rank] = values[c, code, rank - below]
+                elif code % 2 == 0:
+                    missed.add((c, rank))
+            # A sketch further off than its bound is mended by a pass that writes where the rank is.
+            written = {c: {self._interval(c, r, counts, 2 * len(pins[c]) + 1)[0] for k, r in missed if k == c} for c in {c for c, _ in missed}}
+            pins = {c: pins[c] for c in written}
+            todo = missed
+
+    def _around(self, c: int, rank: int) -> tuple[int, int]:
+        """Places of the grid which hold the rank for sure."""
+        rows = self.filled[self.columns[c]]
+        low = math.floor((rank / rows - 1 / ACCURACY) * GRID) - 1
+        high = math.ceil(((rank + 1) / rows + 1 / ACCURACY) * GRID) + 1
+        return max(low, 0), min(high, GRID)
+
+    def _pins(self, c: int, wanted: set[int]) -> np.ndarray:
+        ends = [self._grid[c][place] for r in wanted for place in self._around(c, r)]
+        return np.unique(np.array(ends, np.float64) + 0.0)  # -0.0 becomes 0.0
+
+    def _outer(self, c: int, pins: np.ndarray, wanted: set[int]) -> set[int]:
+        """Codes of the intervals that no wanted rank can be in."""
+        inside: set[int] = set()
+        for r in wanted:
+            low, high = self._around(c, r)
+            first = 0 if low == 0 else int(np.searchsorted(pins, self._grid[c][low])) + 1
+            last = len(pins) if high == GRID else int(np.searchsorted(pins, self._grid[c][high]))
+            inside.update(2 * k for k in range(first, last + 1))
+        return {2 * k for k in range(len(pins) + 1)} - inside
+
+    @staticmethod
+    def _interval(c: int, rank: int, counts: dict[Interval, int], codes: int) -> tuple[int, int]:
+        """The code whose rows hold the rank, and the number of rows below them."""
+        below = 0
+        for code in range(codes):
+            n = counts.get((c, code), 0)
+            if rank < below + n:
+                return code, below
+            below += n
+        raise ValueError("a rank beyond the rows of its column")
+
+
+def _split(base: DataFrame, pins: dict[int, np.ndarray], written: dict[int, set[int]]) -> DataFrame:
+    """(col, code, value, n): counts of every code (value null), and the written values."""
+    columns = sorted(pins)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {c: np.zeros(2 * len(pins[c]) + 1, np.int64) for c in columns}
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for i, c in enumerate(columns):
+                x = batch.column(i).drop_null().to_numpy() + 0.0
+                at = np.searchsorted(pins[c], x)
+                on = pins[c][np.minimum(at, len(pins[c]) - 1)] == x
+                code = 2 * at + (on | (np.isnan(x) & (at < len(pins[c]))))
+                counts[c] += np.bincount(code, minlength=len(counts[c]))
+                if written[c]:
+                    kept = np.isin(code, list(written[c]))
+                    values, n = np.unique(x[kept], return_counts=True)
+                    at = np.searchsorted(pins[c], values)
+                    out.append((np.full(len(values), c), 2 * at, values, n))
+            if out:
+                yield _cells(*map(np.concatenate, zip(*out)))
+        rows = [(c, code, n) for c in columns for code, n in enumerate(counts[c]) if n]
+        if rows:
+            c, code, n = np.array(rows, np.int64).T
+            yield _cells(c, code, None, n)
+
+    return base.select(*[f"c{c}" for c in columns]).mapInArrow(run, "col int, code int, value double, n long")
+
+
+def _cells(c: np.ndarray, code: np.ndarray, values: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+    value = pa.nulls(len(c), pa.float64()) if values is None else pa.array(values, pa.float64(), from_pandas=False)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(code, pa.int32()), value, pa.array(n, pa.int64())], ["col", "code", "value", "n"])
+
+
+def _ranked(between: DataFrame, inner: dict[Interval, set[int]], sizes: dict[Interval, int], most: int) -> dict[tuple[int, int, int], float]:
+    """Values at ranks inside intervals, by (col, code, rank)."""
+    if not inner:
         return {}
-    spark = base.sparkSession
-    ranks = F.broadcast(
-        local_frame(
-        spark,
-            [(i, t.rank - t.below, min(t.rank + 1, t.rows - 1) - t.below)
-             for i, t in enumerate(targets)],
-            "target int, first bigint, second bigint",
-        )
-    )
-    running = Window.partitionBy("target").orderBy("value")
-    found = (
-        base.select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
-        .groupBy("cell.target", "cell.value")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("upto", F.sum("rows").over(running))
-        .join(ranks, "target")
-        .groupBy("target")
-        .agg(
-            F.min(F.when(F.col("upto") > F.col("first"), F.col("value"))).alias("a"),
-            F.min(F.when(F.col("upto") > F.col("second"), F.col("value"))).alias("b"),
-        )
+    spark = between.sparkSession
+    asked = [(c, code, rank, rank) for (c, code), found in inner.items() for rank in found]
+    # Numbers of the wanted ranks: a few per column.
+    wanted = local_frame(spark, asked, "col int, code int, rank bigint, left bigint")
+    cells = between.where(F.col("value").isNotNull()).join(F.broadcast(wanted), ["col", "code"])
+    found: dict[tuple[int, int, int], float] = {}
+    largest = max(sizes.values())
+    while largest > most:
+        cells = stage(cells, "cells")
+        key = ["col", "code", "rank"]
+        even = "cast(split('" + ",".join(str(i / FINE_GRID) for i in range(FINE_GRID + 1)) + "', ',') as array<double>)"
+        pins = cells.groupBy(*key).agg(F.array_distinct(F.expr(f"percentile_approx(value, {even}, {ACCURACY})")).alias("pins"))
+        pinned = cells.join(F.broadcast(pins), key)  # at most FINE_GRID + 1 pins a rank
+        lower = F.size(F.filter("pins", lambda p: p < F.col("value")))
+        part = stage(pinned.withColumn("part", 2 * lower + F.array_contains("pins", F.col("value")).cast("int")).withColumn("pin", F.element_at("pins", F.least(lower + 1, F.size("pins")))).drop("pins"), "parts")
+        order = Window.partitionBy(*key).orderBy("part")
+        sums = part.groupBy(*key, "part").agg(F.sum("n").alias("rows"), F.min("pin").alias("pin"), F.min("left").alias("left")).withColumn("upto", F.sum("rows").over(order))
+        held = sums.where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("rows") <= F.col("left"))).collect()  # a row per wanted rank
+        found |= {(r["col"], r["code"], r["rank"]): r["pin"] for r in held if r["part"] % 2}
+        rest = [r for r in held if r["part"] % 2 == 0]
+        if not rest:
+            return found
+        largest = max(r["rows"] for r in rest)
+        kept = local_frame(spark, [(r["col"], r["code"], r["rank"], r["part"], r["left"] - r["upto"] + r["rows"]) for r in rest], "col int, code int, rank bigint, part int, left bigint")
+        cells = part.drop("left", "pin").join(F.broadcast(kept), [*key, "part"]).drop("part")
+    running = Window.partitionBy("col", "code", "rank").orderBy("value")
+    rows = (
+        cells.groupBy("col", "code", "rank", "value").agg(F.sum("n").alias("n"), F.min("left").alias("left"))
+        .withColumn("upto", F.sum("n").over(running))
+        .where(F.col("upto") > F.col("left"))
+        .groupBy("col", "code", "rank").agg(F.min("value").alias("value"))
         .collect()
     )
-    return {id(targets[r["target"]]): (r["a"], r["b"]) for r in found}
+    return found | {(r["col"], r["code"], r["rank"]): r["value"] for r in rows}

@@ -122,7 +122,7 @@ def fit_and_scale(
     key: Sequence[str] | None = None,
     categorical: Sequence[str] = (),
     seed: int = 42,
-    method: str = "auto",
+    method: str = "exact",
 ) -> Prepared:
     """Split, then fit one-hot, medians and scaling on the training rows only.
 
@@ -144,7 +144,7 @@ def fit_and_scale(
         one_hot = OneHot.fit(train, categorical)
         train, table = one_hot.transform(train), one_hot.transform(table)
     features = feature_columns(train, [*labels, *(key or [])])
-    prep = FeaturePrep.fit(train, features, method)
+    prep = FeaturePrep.fit(train, features, method, one_hot.flags() if one_hot else None)
     return Prepared(prep.transform(table), prep.features, prep, one_hot)
 
 

@@ -6,50 +6,90 @@ from pyspark.sql import functions as F
 
 from flowsieve.operators import quantiles as Q
 from flowsieve.operators.classes import class_dictionary, decode, encode, spread_scores
-from flowsieve.operators.prep import FeaturePrep, OneHot, any_null, medians
+from flowsieve.operators.prep import QUARTILES, FeaturePrep, OneHot, any_null
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
 
 
-@pytest.mark.parametrize("method", ["auto", "exact", "bracket"])
-def test_small_column(spark, method):
+@pytest.mark.parametrize("ranked_rows", [0, 1, 50_000])
+def test_small_column(spark, ranked_rows):
     df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 10.0, None)], "x double")
-    assert Q.quantiles(df, ["x"], [0.25, 0.5, 0.75], method) == {"x": [1.75, 2.5, 4.75]}
+    assert Q.quantiles(df, ["x"], [0.25, 0.5, 0.75], ranked_rows=ranked_rows) == {"x": [1.75, 2.5, 4.75]}
+    assert Q.quantiles(df.limit(0), ["x"], [0.5]) == {"x": [None]} and Q.quantiles(df, [], [0.5]) == {}
 
 
-def test_brackets_are_exact_on_skew(spark, monkeypatch):
-    """A third of the rows share one value, the tail spans many magnitudes."""
-    monkeypatch.setattr(Q, "BRACKET_ROWS", 40)
+@pytest.mark.parametrize("grid", [8, 1000])
+@pytest.mark.parametrize("ranked_rows", [5, 50_000])
+def test_quantiles_are_exact_on_skew(spark, monkeypatch, ranked_rows, grid):
+    """A third of the rows share one value, the tail spans many magnitudes; coarse pins."""
     monkeypatch.setattr(Q, "ACCURACY", 50)
+    monkeypatch.setattr(Q, "GRID", grid)
+    monkeypatch.setattr(Q, "FINE_GRID", 4)
     rng = np.random.default_rng(3)
     x = np.concatenate([np.full(1000, 5.0), rng.lognormal(0, 9, 1500), rng.integers(0, 9, 500)])
     y = rng.normal(size=3000)
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
-    got = Q.quantiles(df, ["x", "y"], PROBS, "bracket")
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(5)
+    got = Q.quantiles(df, ["x", "y"], PROBS, ranked_rows=ranked_rows)
     np.testing.assert_allclose(got["x"], np.quantile(x, PROBS), rtol=1e-12)
     np.testing.assert_allclose(got["y"], np.quantile(y, PROBS), rtol=1e-12)
 
 
-def test_auto_mixes_maps_and_brackets(spark, monkeypatch):
-    monkeypatch.setattr(Q, "MAP_ENTRIES", 200)
-    monkeypatch.setattr(Q, "BRACKET_ROWS", 40)
-    df = spark.range(2000).select(
-        (F.col("id") % 3).cast("double").alias("few"), (F.col("id") * 1.5).alias("many")
-    )
-    got = Q.quantiles(df, ["few", "many"], [0.5], "auto")
-    assert got == {"few": [1.0], "many": [1499.25]}
+def test_a_sketch_beyond_its_bound_is_mended(spark, monkeypatch):
+    """Pins that miss the wanted ranks cost a further pass, never a wrong value."""
+    monkeypatch.setattr(Q.OrderStatistics, "_around", lambda self, c, r: (0, 3))
+    df = spark.range(5000).select((F.col("id") * 0.5).alias("x"))
+    assert Q.quantiles(df, ["x"], [0.5, 0.9]) == {"x": [1249.75, 2249.55]}
+
+
+def test_nan_comes_last(spark):
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, float("nan"), -0.0, 4.0)], "x double")
+    assert Q.quantiles(df, ["x"], [0.0, 0.5, 0.75]) == {"x": [0.0, 2.0, 4.0]}
+
+
+def passes(df):
+    """``df``, and a function that tells how often all its rows were read."""
+    sc, n = df.sparkSession.sparkContext, df.count()
+    read = sc.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(seen, df.schema), lambda: read.value / n
+
+
+def test_fitting_reads_its_input_twice(spark):
+    """Quartiles of holed columns, before and after imputation, from two passes; flags from none."""
+    rng = np.random.default_rng(8)
+    x = rng.lognormal(0, 3, (4000, 6)).round(2)
+    x[rng.random((4000, 6)) < [0, 0.01, 0.1, 0.4, 0.6, 0.97]] = np.nan
+    rows = [(*[None if np.isnan(v) else float(v) for v in r], "abc"[i % 3]) for i, r in enumerate(x)]
+    plain = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double, s string").repartition(4)
+    encoder = OneHot.fit(plain, ["s"])
+    df, read = passes(encoder.transform(plain))
+    prep = FeaturePrep.fit(df, flags=encoder.flags())
+    assert read() == 2.0
+    for i, c in enumerate("abcdef"):
+        median = np.nanmedian(x[:, i])
+        quarters = np.quantile(np.where(np.isnan(x[:, i]), median, x[:, i]), QUARTILES)
+        expected = median, quarters[1], quarters[2] - quarters[0] if quarters[2] - quarters[0] > 1e-9 else 1.0
+        np.testing.assert_allclose((prep.median[c], prep.center[c], prep.spread[c]), expected, rtol=1e-12)
+    assert prep == FeaturePrep.fit(encoder.transform(plain))
+    assert prep.features == list("abcdef") + ["s_b", "s_c"]
 
 
 def test_approximate_median_is_near(spark):
     df = spark.range(10001).select(F.col("id").cast("double").alias("x"))
-    assert medians(df, ["x"], "approx")["x"] == pytest.approx(5000, abs=10)
+    assert Q.quantiles(df, ["x"], [0.5], "approx")["x"][0] == pytest.approx(5000, abs=10)
+    assert FeaturePrep.fit(df, method="approx").center["x"] == pytest.approx(5000, abs=10)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6), st.integers(0, 3).map(float)), min_size=1, max_size=40))
-def test_bracket_equals_numpy(spark, values):
+def test_quantiles_equal_numpy(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = Q.quantiles(df, ["x"], [0.25, 0.5], "bracket")["x"]
+    got = Q.quantiles(df, ["x"], [0.25, 0.5], ranked_rows=3)["x"]
     present = [v for v in values if v is not None]
     if not present:
         assert got == [None, None]
