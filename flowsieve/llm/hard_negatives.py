@@ -215,7 +215,7 @@ def _first(found: DataFrame, k: int) -> DataFrame:
 
 def _search(members: DataFrame, rows: DataFrame, pieces: list[tuple[int, int]], chunks: int, heart: np.ndarray, dims: int, k: int, same: bool) -> DataFrame:
     """anchor, want, score, id, row, rank: the k best of each want of ``members`` over all rows."""
-    # Lists travel as text: the size of an Arrow batch with list columns is slow to find.
+    # Limits travel as text: null lists make Arrow batches slow to write.
     none = F.lit(None).cast("string")
     texts = [F.concat_ws(",", F.transform(c, lambda v: v.cast("string"))).alias(c) for c in ("floors", "caps")]
     shared = ["row", "id", "label", "q"]
