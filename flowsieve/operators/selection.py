@@ -2,10 +2,11 @@
 
 Rows are ordered at random by a hash of their key. Taking the first ``want``
 rows of a group then only needs the hash at position ``want``. That threshold is
-found by counting hash prefixes: each round keeps the one prefix which holds the
-position and reads the next digits of the rows under it. Counts combine before
-the shuffle, so a group which holds most of the table costs what a small one
-costs, and the selection itself is a comparison with a broadcast threshold.
+found by counting hash prefixes, which combine before the shuffle, so a group which
+holds most of the table costs what a small one costs. The rows under the one prefix
+of a group which holds the position are written out with their counts, and further
+digits are read from that small table only: two passes over the rows find any
+threshold. The selection itself is a comparison with a broadcast threshold.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import ref
 from flowsieve.functions.hashing import row_hash
-from flowsieve.session import Pinned
+from flowsieve.session import Pinned, stage
 
 # A hash has 32 digits; a stored order may add 16 digits of a row number to it.
 HASH_DIGITS = 48
@@ -44,7 +45,7 @@ def stored_order(seed: int, row_id: Sequence[str]) -> Column:
 Quota = Callable[[DataFrame], DataFrame]
 
 
-def find_thresholds(rows: DataFrame, quota: Quota) -> Pinned:
+def find_thresholds(rows: DataFrame, quota: Quota, fine_rows: int = FINE_ROWS) -> Pinned:
     """Threshold hash of each stratum.
 
     ``rows`` holds (stratum, hash); ``quota`` turns the sizes (stratum, n) into
@@ -52,22 +53,21 @@ def find_thresholds(rows: DataFrame, quota: Quota) -> Pinned:
     hash below ``cut`` are taken, and ``take`` of the ``ties`` rows at ``cut``.
     """
     # The sizes and the first cut come from one pass over the rows.
-    counts = _prefix_counts(rows, [], STEP_DIGITS).persist()
+    cells = rows.withColumn("rows", F.lit(1))
+    counts = stage(_prefix_counts(cells, [], STEP_DIGITS), "prefixes")
     sizes = counts.groupBy(STRATUM).agg(F.sum("rows").alias("n"))
     quotas = Pinned(quota(sizes))
     open_ = quotas.side.filter((F.col("want") > 0) & (F.col("want") < F.col("n"))).select(
         F.col(STRATUM).alias("_s"), F.col("want").alias("take")
     )
     state = Pinned(_cut(counts.join(open_, counts[STRATUM].eqNullSafe(F.col("_s"))).drop("_s")))
-    counts.unpersist()
     width = STEP_DIGITS
-    while width < HASH_DIGITS:
-        # Rows under a cut may agree in more digits than were read, copies in all of them.
-        read = state.frame.agg(F.max("ties"), F.min(F.when(F.col("ties") > FINE_ROWS, F.col("same")))).first()
-        if read[0] is None:
-            break
-        before, width = width, HASH_DIGITS if read[1] is None else min(HASH_DIGITS, max(width, read[1]) + STEP_DIGITS)
-        state = Pinned(_narrow(rows, state, before, width))
+    while width < HASH_DIGITS and (ties := state.highest("ties")) is not None:
+        # What lies under the cuts: a shrinking table, equal hashes counted together.
+        under = stage(_under(cells, state, width), "under-cuts")
+        width = HASH_DIGITS if ties <= fine_rows else _next_width(under, width, fine_rows)
+        state = Pinned(_cut(_prefix_counts(under, ["take"], width)))
+        cells = under.drop("take")
     found = state.side.select(F.col(STRATUM).alias("_s"), "cut", "take", "ties")
     whole = F.when(F.col("want") <= 0, F.lit(NONE)).otherwise(F.lit(ALL))
     return Pinned(
@@ -80,9 +80,16 @@ def find_thresholds(rows: DataFrame, quota: Quota) -> Pinned:
     )
 
 
+def _next_width(under: DataFrame, width: int, fine_rows: int) -> int:
+    """Digits to read next: copies agree in many, which are skipped."""
+    sizes = under.groupBy(STRATUM).agg(F.count(F.lit(1)).alias("n"), _common(F.min(HASH), F.max(HASH)).alias("same"))
+    same = sizes.agg(F.min(F.when(F.col("n") > fine_rows, F.col("same")))).first()[0]
+    return HASH_DIGITS if same is None else min(HASH_DIGITS, max(width, same) + STEP_DIGITS)
+
+
 def _prefix_counts(rows: DataFrame, keep: Sequence[str], width: int) -> DataFrame:
     return rows.groupBy(STRATUM, *keep, F.substring(HASH, 1, width).alias("prefix")).agg(
-        F.count(F.lit(1)).alias("rows"), F.min(HASH).alias("low"), F.max(HASH).alias("high")
+        F.sum("rows").alias("rows")
     )
 
 
@@ -104,17 +111,17 @@ def _cut(counts: DataFrame) -> DataFrame:
             F.col("prefix").alias("cut"),
             (F.col("take") - (F.col("upto") - F.col("rows"))).alias("take"),
             F.col("rows").alias("ties"),
-            _common(F.col("low"), F.col("high")).alias("same"),
         )
     )
 
 
-def _narrow(rows: DataFrame, open_: Pinned, width: int, next_width: int) -> DataFrame:
+def _under(rows: DataFrame, open_: Pinned, width: int) -> DataFrame:
+    """What starts with its stratum's cut: (stratum, hash, take, rows), equal hashes as one row."""
     state = open_.side.select(F.col(STRATUM).alias("_s"), "cut", "take")
     under = rows[STRATUM].eqNullSafe(state["_s"]) & (
         F.substring(rows[HASH], 1, width) == state["cut"]
     )
-    return _cut(_prefix_counts(rows.join(state, under), ["take"], next_width))
+    return rows.join(state, under).groupBy(STRATUM, HASH, "take").agg(F.sum("rows").alias("rows"))
 
 
 def mark_first(

@@ -55,11 +55,11 @@ def stratified_split(
     column = ref(stratum) if isinstance(stratum, str) else stratum
 
     def quota(sizes: DataFrame) -> DataFrame:
-        sizes = Pinned(sizes).frame
-        single = sizes.filter("n < 2").limit(5).collect()
-        if single:
-            raise ValueError(f"a stratum needs two rows to be split: {[r[0] for r in single]}")
-        return test_quotas(sizes, test_fraction)
+        pinned = Pinned(sizes)
+        small = [r for r in pinned.rows if r["n"] < 2] if pinned.small else pinned.frame.filter("n < 2").limit(5).collect()
+        if small:
+            raise ValueError(f"a stratum needs two rows to be split: {[r[0] for r in small[:5]]}")
+        return test_quotas(pinned.frame, test_fraction)
 
     marked = mark_first(df, column, quota, key, seed, "_held_out", copies, order)
     name = F.when(F.col("_held_out"), F.lit(TEST)).otherwise(F.lit(TRAIN))

@@ -101,25 +101,26 @@ class Pinned:
 
     def __init__(self, df: DataFrame, limit: int = SMALL_ROWS):
         spark = df.sparkSession
-        held = df.persist()  # the look at its size and the checkpoint share one computation
-        try:
-            bounded = held.limit(limit + 1).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-            rows = bounded.first()[0]
-            self.rows: list[Row] | None = None
-            if len(rows) <= limit and arrow_table(rows, df.schema).nbytes <= SMALL_BYTES:
-                self.rows = rows
-                self.frame = local_frame(spark, rows, df.schema)
-                self.side = F.broadcast(self.frame)
-            else:
-                work_dir(spark)
-                self.frame = held.checkpoint()
-                self.side = self.frame
-        finally:
-            held.unpersist()
+        rows = df.limit(limit + 1).collect()
+        self.rows: list[Row] | None = None
+        if len(rows) <= limit and arrow_table(rows, df.schema).nbytes <= SMALL_BYTES:
+            self.rows = rows
+            self.frame = local_frame(spark, rows, df.schema)
+            self.side = F.broadcast(self.frame)
+        else:
+            work_dir(spark)
+            self.frame = df.checkpoint()
+            self.side = self.frame
 
     @property
     def small(self) -> bool:
         return self.rows is not None
 
+    def highest(self, column: str):
+        """The greatest value of a column, None without rows."""
+        if self.small:
+            return max((r[column] for r in self.rows), default=None)
+        return self.frame.agg(F.max(column)).first()[0]
+
     def any(self, condition: Column) -> bool:
         return not self.frame.filter(condition).isEmpty()

@@ -31,9 +31,9 @@ def test_one_hot_is_stored_with_the_table(spark, tmp_path):
 
 def test_copies_need_few_rounds(spark, monkeypatch):
     rounds = []
-    narrow = selection._narrow
-    monkeypatch.setattr(selection, "_narrow", lambda *a: rounds.append(a[-1]) or narrow(*a))
-    monkeypatch.setattr(selection, "FINE_ROWS", 1_000)
+    under = selection._under
+    monkeypatch.setattr(selection, "_under", lambda *a: rounds.append(a[-1]) or under(*a))
+    monkeypatch.setattr(selection.find_thresholds, "__defaults__", (1_000,))
     copies = spark.range(60_000).select(F.lit("same").alias("x"))
     assert selection.take_n(copies, 20_000, None).count() == 20_000
     assert len(rounds) <= 2

@@ -35,7 +35,8 @@ def test_split_is_a_partition_with_exact_quotas(spark):
 @pytest.mark.parametrize("fine", [1, 50_000])
 def test_split_ignores_partitioning_and_step_size(spark, monkeypatch, parts, fine):
     """Equal to a plain row number over each whole stratum, however it is found."""
-    monkeypatch.setattr(selection, "FINE_ROWS", fine)
+    monkeypatch.setattr(selection.find_thresholds, "__defaults__", (fine,))
+    monkeypatch.setattr(selection, "STEP_DIGITS", 1 if fine == 1 else 3)
     df = frame(spark, SIZES, parts)
     out = stratified_split(df, "s", ["id"])
     quota = {r["s"]: r["n"] for r in out.filter("split = 'test'").groupBy("s").agg(F.count("id").alias("n")).collect()}
@@ -83,6 +84,26 @@ def test_stored_order_splits_copies(spark, tmp_path):
     assert out.filter("split = 'test'").count() == 20
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_thresholds_read_the_rows_twice(spark, copies, monkeypatch):
+    """Further digits come from the rows under a cut only, also where most rows are copies."""
+    monkeypatch.setattr(selection.find_thresholds, "__defaults__", (10,))
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(30_000).select((F.col("id") % 3).alias("s"), F.when(F.col("id") < 25_000 * int(copies), 7).otherwise(F.col("id")).alias("v"))
+    rows = df.select(F.col("s").alias(selection.STRATUM), row_hash(42, ["v"]).alias(selection.HASH))
+    cuts = selection.find_thresholds(rows.mapInArrow(seen, rows.schema), lambda sizes: sizes.withColumn("want", F.lit(2_000)))
+    assert read.value == 2 * 30_000
+    for r in cuts.frame.collect():
+        hashes = sorted(x[0] for x in rows.where(F.col(selection.STRATUM) == r[0]).select(selection.HASH).collect())
+        assert r["cut"] == hashes[1_999] and hashes.index(r["cut"]) + r["take"] == 2_000 and hashes.count(r["cut"]) == r["ties"]
+
+
 def test_take_n(spark):
     df = frame(spark, {"a": 50, "b": 20})
     assert selection.take_n(df, 7, ["id"]).count() == 7
