@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve.functions.columns import ref
 from flowsieve.operators.isolation import IsolationForest
 from flowsieve.operators.metrics import ratio
 from flowsieve.operators.models import Classifier
+from flowsieve.operators.scoring import scorer
 
 
 def combine(flagged: Column, second: Column, benign) -> Column:
@@ -39,12 +43,35 @@ def apply_cascade(
     out: str = "prediction",
     flag: str = "flagged",
 ) -> DataFrame:
-    """Add the flag and the final class.
+    """Add the flag and the final class, from one pass over the rows.
 
-    Only flagged rows reach the classifier; the two branches are put together without
-    a shuffle, and each scores the detector for itself.
+    A batch is scored by the detector once; only its flagged rows reach the classifier.
     """
-    return _two_stages(_flagged(test, detector, flag), classifier, benign, out, flag)
+    spark = test.sparkSession
+    if detector.offset is None:
+        raise ValueError("the forest has no offset yet")
+    columns = list(dict.fromkeys([*detector.features, *classifier.features]))
+    first = [columns.index(f) for f in detector.features]
+    second = [columns.index(f) for f in classifier.features]
+    shared = spark.sparkContext.broadcast((detector.scorer(), scorer(spark, classifier)))
+    offset = detector.offset
+
+    @F.pandas_udf("flagged boolean, best int")
+    def stages(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        detect, classify = shared.value
+        for batch in batches:
+            x = np.column_stack([s.to_numpy(dtype=float) for s in batch])
+            flagged = detect(x[:, first]) < offset
+            best = np.full(len(x), -1, dtype=np.int32)
+            if flagged.any():
+                best[flagged] = classify.scores(x[flagged][:, second]).argmax(axis=1)
+            yield pd.DataFrame({"flagged": flagged, "best": best})
+
+    # Not to be pushed below a later filter, which would score every row once more.
+    staged = test.withColumn("_stages", stages.asNondeterministic()(*[ref(c).cast("double") for c in columns]))
+    names = F.array(*[F.lit(c) for c in classifier.classes])
+    final = combine(F.col("_stages.flagged"), F.get(names, F.col("_stages.best")), benign)
+    return staged.withColumns({flag: F.col("_stages.flagged"), out: final}).drop("_stages")
 
 
 @contextmanager
@@ -56,19 +83,9 @@ def cascade_rows(
     out: str = "prediction",
     flag: str = "flagged",
 ) -> Iterator[DataFrame]:
-    """``apply_cascade`` with the detector's output held while the block runs, and freed after it."""
-    first = _flagged(test, detector, flag).persist()
+    """``apply_cascade`` with its result held while the block runs, and freed after it."""
+    both = apply_cascade(test, detector, classifier, benign, out, flag).persist()
     try:
-        yield _two_stages(first, classifier, benign, out, flag)
+        yield both
     finally:
-        first.unpersist()
-
-
-def _flagged(test: DataFrame, detector: IsolationForest, flag: str) -> DataFrame:
-    return detector.predict(test, "_code").withColumn(flag, F.col("_code") == -1).drop("_code")
-
-
-def _two_stages(first: DataFrame, classifier: Classifier, benign, out: str, flag: str) -> DataFrame:
-    second = classifier.predict(first.filter(flag), out, "_scores").drop("_scores")
-    passed = first.filter(~F.col(flag)).withColumn(out, F.lit(benign))
-    return second.unionByName(passed)
+        both.unpersist()

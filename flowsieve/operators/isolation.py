@@ -8,8 +8,9 @@ holds; it travels to the tasks as one broadcast.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -151,21 +152,18 @@ class IsolationForest:
             )
         return arrays
 
+    def scorer(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Scores of a matrix of features: ``-2 ** (-mean depth / expected depth)``, lower is more unusual."""
+        trees, depth = self._arrays(), max(n[5] for n in self.nodes)
+        return partial(_scored, trees=trees, depth=depth, expected=mean_path(self.rows) or 1.0)
+
     def score_column(self, spark: SparkSession) -> Column:
-        """``-2 ** (-mean depth / expected depth)``: lower is more unusual."""
-        shared = spark.sparkContext.broadcast(self._arrays())
-        depth = max(n[5] for n in self.nodes)
-        expected = mean_path(self.rows) or 1.0
+        shared = spark.sparkContext.broadcast(self.scorer())
 
         @F.pandas_udf("double")
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for batch in batches:
-                x = np.column_stack([s.to_numpy(dtype=float) for s in batch])
-                out = np.empty(len(x))
-                for i in range(0, len(x), SCORE_STEP):
-                    part = x[i : i + SCORE_STEP]
-                    out[i : i + SCORE_STEP] = mean_depth(part, shared.value, depth)
-                yield pd.Series(-np.exp2(-out / expected))
+                yield pd.Series(shared.value(np.column_stack([s.to_numpy(dtype=float) for s in batch])))
 
         return score(*[ref(f).cast("double") for f in self.features])
 
@@ -205,6 +203,13 @@ class IsolationForest:
         return cls(tuple(nodes), tuple(head["features"]), trees, head["rows"], head["offset"])
 
 
+def _scored(x: np.ndarray, trees: list, depth: int, expected: float) -> np.ndarray:
+    out = np.empty(len(x))
+    for i in range(0, len(x), SCORE_STEP):
+        out[i : i + SCORE_STEP] = mean_depth(x[i : i + SCORE_STEP], trees, depth)
+    return -np.exp2(-out / expected)
+
+
 def mean_depth(x: np.ndarray, trees: list, depth: int) -> np.ndarray:
     """Mean leaf depth of each row over all trees."""
     rows, width = x.shape

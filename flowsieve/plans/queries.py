@@ -14,6 +14,7 @@ from flowsieve.operators.cascade import combine, routing
 from flowsieve.operators.isolation import IsolationForest, detector_code
 from flowsieve.operators.models import (
     Classifier,
+    fit_boosted,
     fit_forest,
     fit_logistic,
     timed,
@@ -24,13 +25,14 @@ from flowsieve.operators.split import TEST, TRAIN, stratified_split
 from flowsieve.plans import oracle as O
 from flowsieve.plans import prepare
 from flowsieve.plans.experiments import (
-    Outcome,
     anomaly_sweep,
     binary_baselines,
     binary_rows,
     cascade,
+    fit_on_smote,
     multiclass,
     report_rows,
+    training_base,
     transfer,
 )
 from flowsieve.session import local_frame, scratch_path, stage
@@ -1057,18 +1059,6 @@ def _class_data(spark, sf_dir) -> prepare.Prepared:
     return prepare.fit_and_scale(flows, "label", ["label"], LINEITEM_KEY)
 
 
-_OUTCOMES: dict[tuple[str, str], tuple[prepare.Prepared, Outcome]] = {}
-
-
-def _class_models(spark, sf_dir) -> tuple[prepare.Prepared, Outcome]:
-    """The multiclass experiment with its full settings, fitted once per application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _OUTCOMES:
-        data = _class_data(spark, sf_dir)
-        _OUTCOMES[key] = data, multiclass(data, "label", "lineitem", L.BENIGN, key=LINEITEM_KEY)
-    return _OUTCOMES[key]
-
-
 def _binary_facts(model: Classifier, data: prepare.Prepared) -> DataFrame:
     """Held-out rows by actual label; the label follows from a feature, so it must be learned."""
     pairs = metrics.pair_counts(model.predict(data.test), "is_attack", "prediction")
@@ -1103,15 +1093,17 @@ def _class_facts(model: Classifier, data: prepare.Prepared) -> DataFrame:
 
 @query(CLASS_FACTS)
 def boosted_weighted(spark, sf_dir):
-    data, outcome = _class_models(spark, sf_dir)
-    return _class_facts(outcome.models["weighted"], data)
+    data = _class_data(spark, sf_dir)
+    base = training_base(data, "label", key=LINEITEM_KEY)
+    return _class_facts(fit_boosted(base, "label", data.features, balanced=True), data)
 
 
 @query(CLASS_FACTS)
 def boosted_smote(spark, sf_dir):
     """Boosted trees on rows raised to equal class sizes."""
-    data, outcome = _class_models(spark, sf_dir)
-    return _class_facts(outcome.models["smote"], data)
+    data = _class_data(spark, sf_dir)
+    base = training_base(data, "label", key=LINEITEM_KEY)
+    return _class_facts(fit_on_smote(base, "label", data.features, LINEITEM_KEY)[0], data)
 
 
 @query(f"""WITH {TRANSFER_SPLIT} SELECT split, count(*) AS n, TRUE AS near_level FROM marked GROUP BY ALL""")
@@ -1153,10 +1145,12 @@ def class_probabilities(spark, sf_dir):
 
 def flagship(spark, sf_dir) -> DataFrame:
     """Two-stage detection: metric rows of the cascade on held-out flows."""
-    data, outcome = _class_models(spark, sf_dir)
+    data = _class_data(spark, sf_dir)
+    base = training_base(data, "label", key=LINEITEM_KEY)
+    second, _ = fit_on_smote(base, "label", data.features, LINEITEM_KEY)
     forest = IsolationForest.fit(data.train, data.features, LINEITEM_KEY)
     forest = forest.with_offset(forest.offsets(data.train, [0.15])[0.15])
-    return cascade(data, "label", "lineitem", forest, outcome.models["smote"], L.BENIGN).rows
+    return cascade(data, "label", "lineitem", forest, second, L.BENIGN).rows
 
 
 @query(f"""WITH {CLASS_SPLIT} SELECT label AS class, 'support' AS metric, CAST(count(*) AS DOUBLE) AS value FROM marked
@@ -1213,7 +1207,7 @@ def binary_experiment(spark, sf_dir):
   UNION ALL SELECT 'base', 'train', label, 'dropped', 1 FROM reduced WHERE n < 6""")
 def multiclass_experiment(spark, sf_dir):
     """Supports of both models, the size of the training base, and the classes it drops."""
-    rows = _class_models(spark, sf_dir)[1].rows
+    rows = multiclass(_class_data(spark, sf_dir), "label", "lineitem", L.BENIGN, key=LINEITEM_KEY).rows
     facts = "model = 'base' OR (metric = 'support' AND class NOT LIKE '% avg')"
     return rows.filter(facts).select("model", "split", "class", "metric", "value")
 

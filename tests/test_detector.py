@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from flowsieve.operators.cascade import apply_cascade, routing
 from flowsieve.operators.isolation import IsolationForest, mean_path
 from flowsieve.operators.models import Classifier, fit_boosted, fit_forest, fit_logistic
+from flowsieve.operators.scoring import scorer
 
 FEATURES = ["x", "y"]
 
@@ -116,3 +117,69 @@ def test_cascade_routes_and_names(labelled, forest, boosted):
     row = routing(some, F.col("flagged")).first()
     assert row["rows"] == 3001 and row["flagged"] + row["bypassed"] == 3001
     assert row["flagged_share"] == pytest.approx(0.15, abs=0.001)
+
+
+@pytest.mark.parametrize("kind", ["logistic", "forest", "boosted"])
+def test_arrays_score_as_the_model(spark, labelled, boosted, kind):
+    model = boosted
+    if kind == "logistic":
+        model = fit_logistic(labelled, "flag", FEATURES)
+    if kind == "forest":
+        model = fit_forest(labelled, "label", FEATURES, trees=8, depth=6)
+    rows = model.predict(labelled).select(*FEATURES, "scores", "prediction").toPandas()
+    scores = scorer(spark, model).scores(rows[FEATURES].to_numpy())
+    np.testing.assert_allclose(scores, np.stack(rows["scores"]), rtol=1e-9, atol=1e-12)
+    assert [model.classes[i] for i in scores.argmax(axis=1)] == rows["prediction"].tolist()
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_cascade_equals_its_two_stages(labelled, forest, boosted, kind):
+    """One pass gives the detector's flags, the classifier's classes on flagged rows and no others."""
+    model = boosted if kind == "boosted" else fit_forest(labelled, "label", FEATURES, trees=8, depth=6)
+    detector = forest.with_offset(forest.offsets(labelled, [0.15])[0.15])
+    both = apply_cascade(labelled, detector, model, "BENIGN")
+    flags = detector.predict(labelled).select("id", (F.col("code") == -1).alias("f"))
+    classes = model.predict(labelled).select("id", F.col("prediction").alias("p"))
+    expected = flags.join(classes, "id").select("id", "f", F.when(F.col("f"), F.col("p")).otherwise("BENIGN"))
+    assert both.select("id", "flagged", "prediction").exceptAll(expected).isEmpty() and both.count() == 3001
+    plan = both.filter("flagged")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_metrics_of_models_equal_plain_figures(spark, labelled):
+    """Every metric row of a binary and a multiclass model against plain recomputation."""
+    from flowsieve.plans.experiments import score_binary, score_multiclass
+
+    model = fit_forest(labelled, "flag", FEATURES, trees=5, depth=3)
+    told = {r["metric"]: r["value"] for r in score_binary(model, labelled, "flag", "e", "m", "test").filter("class = ''").collect()}
+    rows = model.predict(labelled).select("flag", "prediction", F.get("scores", 1).alias("s")).toPandas()
+    y, p = rows["flag"].to_numpy(), rows["prediction"].to_numpy()
+    tp, fp, fn, tn = ((y & p).sum(), ((1 - y) & p).sum(), (y & (1 - p)).sum(), ((1 - y) & (1 - p)).sum())
+    expected = {"tp": tp, "fp": fp, "fn": fn, "tn": tn, "accuracy": (y == p).mean(), "precision": tp / (tp + fp), "recall": tp / (tp + fn), "f1": 2 * tp / (2 * tp + fp + fn), "far": fp / (fp + tn), "auc_pr": plain_average_precision(y, rows["s"].to_numpy())}
+    for name, value in expected.items():
+        assert told[name] == pytest.approx(value, abs=1e-9), name
+
+    model = fit_forest(labelled, "label", FEATURES, trees=5, depth=3)
+    classes = sorted(model.classes)
+    told = {(r["class"], r["metric"]): r["value"] for r in score_multiclass(model, labelled, "label", classes, "e", "m", "BENIGN").collect()}
+    rows = model.predict(labelled).select("label", "prediction", "scores").toPandas()
+    y, p, s = rows["label"].to_numpy(), rows["prediction"].to_numpy(), np.stack(rows["scores"])
+    areas = []
+    for i, c in enumerate(classes):
+        hit, called = y == c, p == c
+        precision, recall = (hit & called).sum() / called.sum(), (hit & called).sum() / hit.sum()
+        got = [told[c, m] for m in ("precision", "recall", "f1", "support")]
+        assert got == pytest.approx([precision, recall, 2 * precision * recall / (precision + recall), hit.sum()], abs=1e-9)
+        areas.append(plain_average_precision(hit, s[:, list(model.classes).index(c)]))
+    assert told["", "accuracy"] == pytest.approx((y == p).mean(), abs=1e-9) and told["", "auc_pr"] == pytest.approx(np.mean(areas), abs=1e-9)
+    assert told["", "far"] == pytest.approx((p[y == "BENIGN"] != "BENIGN").mean(), abs=1e-9)
+
+
+def plain_average_precision(hit, score):
+    area, before = 0.0, 0.0
+    for cut in sorted(set(score), reverse=True):
+        above = score >= cut
+        recall = (hit * above).sum() / hit.sum()
+        area += (recall - before) * (hit * above).sum() / above.sum()
+        before = recall
+    return area
