@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import time
+from itertools import product
 
 import numpy as np
 import pytest
@@ -107,6 +109,50 @@ def test_mined_url_rules(spark):
     assert judged == [(1, None, "block", "casino win")] * 2 + [(2, None, "allow", None), (3, None, "allow", None), (4, "net/es/", "allow", None)]
 
 
+def minimal_rules(rows, least, confidence):
+    """All minimal sure token sets, by trying every combination."""
+    sets = [(frozenset(t for t in re.split(r"[\W_]+", re.sub("^.*?://", "", u).lower()) if t), b) for u, b in rows]
+    found, level = [], sorted({frozenset([t]) for s, _ in sets for t in s}, key=sorted)
+    while level:
+        often = []
+        for part in level:
+            held = [b for s, b in sets if part <= s]
+            if sum(held) >= least:
+                (found if sum(held) >= confidence * len(held) else often).append(part)
+        level = sorted({a | b for a in often for b in often if len(a | b) == len(a) + 1 and not any(f <= a | b for f in found)}, key=sorted)
+    return set(found)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_url_rules_equal_brute_force(spark, seed):
+    draw = np.random.default_rng(seed)
+    rows = []
+    for _ in range(300):
+        words = [w for w, p in zip("abcdefg", (0.5, 0.5, 0.4, 0.4, 0.3, 0.6, 0.2)) if draw.random() < p]
+        words += ["h", "i"] * ("a" in words)  # h and i stand where a stands
+        rows.append(("http://" + "/".join(words), bool(draw.random() < (0.9 if {"b", "c"} <= set(words) or {"a", "d", "e"} <= set(words) else 0.15))))
+    expected = minimal_rules(rows, 5, 0.7)
+    found = url_rules.mine(spark.createDataFrame(rows, "url string, block boolean"), least=5, confidence=0.7).collect()
+    assert {frozenset(c) for r in found for c in product(*r.members)} == expected and any(len(e) > 1 for e in expected)
+    pages = [(i, "https://" + "/".join(w)) for i, w in enumerate(("bc", "hde", "ide", "ade", "b", "ah", "fcb"))]
+    judged = {r.page_id: r.verdict for r in url_rules.judge(spark.createDataFrame(pages, "page_id long, url string"), [], url_rules.mine(spark.createDataFrame(rows, "url string, block boolean"), least=5, confidence=0.7)).collect()}
+    assert judged == {i: "block" if any(e <= set(re.split("/+", u.split("://")[1])) for e in expected) else "allow" for i, u in pages}
+
+
+def test_long_urls_seen_often_are_mined_in_time(spark):
+    """60 tokens that always come together, alone in blocked URLs or in others too."""
+    long = "/".join(f"w{i}" for i in range(60))
+    rows = [(f"http://x.org/n{i}", i % 2 == 0) for i in range(100)] + [(f"http://y.org/{long}?k={i % 2}", True) for i in range(20)]
+    rows += [(f"http://z.org/v/{'/'.join(f'u{j}' for j in range(60))}/{'bad' if i < 20 else 'good'}", i < 20) for i in range(60)] + [(f"http://z.org/bad{i}/bad", False) for i in range(30)]
+    started = time.monotonic()
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, block boolean")).collect()
+    assert time.monotonic() - started < 60
+    items = {tuple(r["items"]) for r in rules}
+    assert {("w0",), ("w59",), ("y",)} <= items and len([i for i in items if len(i) == 1]) == 62
+    pairs = [r for r in rules if len(r["items"]) == 2]
+    assert len(pairs) == 1 and sorted(map(len, pairs[0].members)) == [1, 61] and ["bad"] in pairs[0].members
+
+
 def test_url_rules_hold_in_a_large_table_and_at_any_length(spark):
     rows = [(f"http://x.org/n{i}", i % 2 == 0) for i in range(20_000)] + [(f"http://spamhost.org/m{i}", True) for i in range(20)]
     rows += [(f"http://p/q/r/s/k{i}", True) for i in range(40)]
