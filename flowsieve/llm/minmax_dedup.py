@@ -30,12 +30,14 @@ _SHIFT = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words met by a worker; starts afresh when full."""
+    """64-bit hashes of words of at most 64 bytes met by a worker; starts afresh when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 200_000:
+                self.clear()
+            self[word] = value
         return value
 
 

@@ -20,8 +20,8 @@ from flowsieve.llm.token_memo import Memo, encode, load
 
 # Pieces which one task packs: it bounds memory and the search for the best bin.
 GROUP_PIECES = 8192
-# Whole words a worker remembers: fewer than cores, as they are cheap to make from these.
-WORD_ROOM = 200_000
+# Bytes of whole words a worker remembers: fewer than of cores, which make them cheaply.
+WORD_BYTES = 32 << 20
 
 # ASCII signs that always form pieces of their own after a word (no apostrophe: contractions).
 _TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -80,11 +80,12 @@ def _words(path: str) -> Memo:
     def make(words):
         # A word is its core and the signs that trail it; few cores are new.
         split = [cut(w) for w in words]
-        cores.trim()
         cores.learn(part for pair in split for part in pair if part)
-        return [(cores[a] if a else b"") + (cores[b] if b else b"") for a, b in split]
+        made = [(cores[a] if a else b"") + (cores[b] if b else b"") for a, b in split]
+        cores.trim()
+        return made
 
-    return Memo(make, WORD_ROOM)
+    return Memo(make, WORD_BYTES)
 
 
 def word_ids(text: str, path: str) -> bytes:
@@ -167,15 +168,15 @@ def pack(pieces: DataFrame, size: int = 4096, max_docs: int = 1024, max_cost: fl
 
     A sequence holds at most ``size`` tokens, ``max_docs`` pieces and an attention cost
     (sum of squared lengths) of ``max_cost``, by default ``size`` squared. Pieces are
-    dealt by a hash into groups of about ``GROUP_PIECES``, each packed by one task; a
-    group leaves a few sequences partly filled. All columns of ``pieces`` are kept, but
+    dealt by a hash of their place in the stored table into groups of about
+    ``GROUP_PIECES``, however many are equal, each packed by one task; a group leaves a few sequences partly filled. All columns of ``pieces`` are kept, but
     columns named sequence_id or offset are replaced. Ties go by the order of the
     group; an empty table gives an empty result.
     """
-    pieces = pieces.drop("sequence_id", "offset")
+    pieces = staged(pieces.drop("sequence_id", "offset"), "pieces")  # places must not change
     groups = max(1, math.ceil(pieces.count() / GROUP_PIECES))
     spread = [c for c, t in pieces.dtypes if t in ("int", "bigint", "string")]
-    keyed = pieces.withColumn("sequence_id", F.pmod(F.xxhash64(*spread), F.lit(groups)))
+    keyed = pieces.withColumn("sequence_id", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     capacity = np.array([size, max_docs, max_cost or float(size) ** 2])
     weight = np.array(weights)
     schema = T.StructType([*keyed.schema.fields, T.StructField("offset", T.LongType())])
@@ -211,4 +212,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, **limits)
     keeps them, and ``sequences`` puts them together.
     """
     pieces = token_pieces(docs, tokenizer, size).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(staged(pieces, "pieces"), size, **limits)
+    return pack(pieces, size, **limits)

@@ -1,18 +1,21 @@
-"""Token ids of text pieces, each distinct piece encoded once per worker.
+"""Token ids of text pieces, in batches balanced by bytes, and a memo of short pieces.
 
 Corpora repeat their words. A worker keeps the result of pieces it has met, and
-only unknown pieces go to the tokenizer, in batches balanced by bytes. The memo
-holds a bounded number of pieces and starts afresh when it is full, so memory
-does not depend on the vocabulary of the corpus.
+only unknown pieces go to the tokenizer. The memo is bounded by bytes and starts
+afresh when it is full; pieces above 64 bytes (words of scripts without spaces,
+base64) are forgotten after their text, so memory does not depend on the corpus.
 """
 
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 
-MEMO_PIECES = 400_000
+MEMO_BYTES = 64 << 20
+# Longest piece that is kept, and what an entry costs beside its two values.
+KEPT_BYTES, ENTRY_BYTES = 64, 104
 BATCH_BYTES = 1 << 18
 
 
@@ -46,17 +49,32 @@ def encode(tokenizer, pieces: Sequence[str]) -> Iterator[list[int]]:
 
 
 class Memo(dict):
-    """What ``make`` gives for each of the pieces asked for, kept while there is room."""
+    """What ``make`` gives for each of the pieces (bytes) asked for.
 
-    def __init__(self, make: Callable[[Sequence], Iterable], room: int = MEMO_PIECES):
+    ``learn`` makes all of them ready to look up; ``trim``, called after each text,
+    forgets the long ones, and everything once ``room`` bytes are held.
+    """
+
+    def __init__(self, make: Callable[[Sequence[bytes]], Iterable[bytes]], room: int = MEMO_BYTES):
         super().__init__()
-        self.make, self.room = make, room
+        self.make, self.room, self.held = make, room, 0
+        self.passing: list[bytes] = []
 
-    def learn(self, pieces: Iterable) -> None:
+    def learn(self, pieces: Iterable[bytes]) -> None:
         new = [p for p in dict.fromkeys(pieces) if p not in self]
-        if new:
-            self.update(zip(new, self.make(new)))
+        if not new:
+            return
+        for piece, value in zip(new, self.make(new)):
+            self[piece] = value
+            if len(piece) > KEPT_BYTES:
+                self.passing.append(piece)
+            else:
+                self.held += ENTRY_BYTES + sys.getsizeof(piece) + sys.getsizeof(value)
 
     def trim(self) -> None:
-        if len(self) > self.room:
+        for piece in self.passing:
+            del self[piece]
+        self.passing.clear()
+        if self.held > self.room:
             self.clear()
+            self.held = 0
