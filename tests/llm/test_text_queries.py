@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from flowsieve.llm import mixing, packing, quality_rules, token_counts
+from flowsieve.llm import minmax_dedup, mixing, packing, quality_rules, token_counts, token_memo
 from flowsieve.llm.queries import vocabulary
 
 
@@ -188,14 +188,68 @@ ODD_TEXTS = [
 @pytest.mark.parametrize("text", ODD_TEXTS)
 def test_odd_texts_as_the_library_has_them(text):
     byte, word = (vocabulary(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-    parts = token_counts.safe_parts(text)
-    assert "".join(parts) == text
-    memo = token_counts._lengths(byte)
-    memo.learn(parts)
-    assert sum(memo[p] for p in parts) == len(token_counts.load(byte).encode(text, add_special_tokens=False).ids)
+    tokenizer = token_counts.load(byte)
+    whole = len(tokenizer.encode(text, add_special_tokens=False).ids)
+    for length in (1, 3, 40, token_counts.PART_CHARS):
+        parts = list(token_counts.safe_parts(text, length))
+        assert "".join(parts) == text
+        assert sum(len(tokenizer.encode(p, add_special_tokens=False).ids) for p in parts) == whole
+    n_bytes, n_tokens = token_counts.lengths(["", text, "a b", text], tokenizer)
+    assert n_tokens.tolist() == [0, whole, 2, whole] and n_bytes.tolist() == [0, len(text.encode()), 3, len(text.encode())]
     assert packing.word_ids(text, word) == packing._id_bytes(packing.load(word).encode(text, add_special_tokens=False).ids)
 
 
+def test_batches_are_balanced_by_bytes_and_only_long_texts_split():
+    sent = []
+
+    class Library:
+        def encode_batch_fast(self, batch, add_special_tokens):
+            sent.append(batch)
+            return [[0] * len(p) for p in batch]
+
+    some = ["short text", "many words " * 100_000, "x" * 300_000] + ["a few words here"] * 40_000
+    n_bytes, n_tokens = token_counts.lengths(some, Library())
+    assert n_tokens.tolist() == n_bytes.tolist() == [len(t) for t in some]
+    sizes = [sum(map(len, b)) for b in sent]
+    assert all(size <= token_memo.BATCH_BYTES or len(b) == 1 for size, b in zip(sizes, sent))
+    assert sum(size > token_memo.BATCH_BYTES / 2 for size in sizes) >= len(sizes) - 3
+    assert "short text" in sent[0] and max(len(p) for b in sent for p in b if "x" not in p) < token_counts.PART_CHARS + 20
+
+
+def spaceless(number, length=4000):
+    return "".join(chr(0x4E00 + x) for x in np.random.default_rng(number).integers(0, 20_000, length))
+
+
+def test_memos_stay_within_their_bytes_on_texts_without_spaces():
+    word = vocabulary("word_bpe_49k.json")
+    packing._words.cache_clear()
+    memo = packing._words(word)
+    texts = [spaceless(i) for i in range(300)] + [" ".join(spaceless(1000 + i, 6) for i in range(3000))]
+    tokens = [len(packing.word_ids(t, word)) for t in texts]
+    assert min(tokens) >= 4 * 3000
+    assert len(memo) == 3000 and not memo.passing and memo.held < 3000 * 400
+    minmax_dedup._hashes.clear()
+    for text in texts:
+        minmax_dedup.shingle_set(text, 3)
+    assert len(minmax_dedup._hashes) == 3000
+    small = token_memo.Memo(lambda some: [w * 2 for w in some], room=2000)
+    for at in range(200):
+        words = [b"w%d" % (at + i) for i in range(5)] + [b"long" * 20]
+        small.learn(words)
+        assert [small[w] for w in words] == [w * 2 for w in words]
+        small.trim()
+        assert small.held <= 2000 and len(small) * 170 <= 2000 + 170
+
+
+def test_equal_pieces_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 500)
+    pieces = spark.range(6000).selectExpr("cast(null as bigint) AS doc_id", "0 AS piece", "0L AS start", "1L AS length", "7L AS ids_crc32")
+    packed = packing.pack(pieces, size=64).toPandas()
+    groups = packed.groupby(packed.sequence_id // 2**32).size()
+    assert len(packed) == 6000 and len(groups) == 12 and groups.max() < 650
+    assert packed.groupby("sequence_id").length.sum().max() <= 64
+
+
 def test_packing(result, table):
     from tokenizers import Tokenizer
 
