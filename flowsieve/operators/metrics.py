@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import ref
-from flowsieve.session import Pinned, local_frame, stage
+from flowsieve.session import local_frame, stage
 
 ACTUAL, PREDICTED = "actual", "predicted"
 METRIC_SCHEMA = (
@@ -156,22 +156,20 @@ def false_alarm_rate(report: DataFrame, benign) -> DataFrame:
     return report.filter(F.col("class") == F.lit(benign)).select((1 - F.col("recall")).alias("far"))
 
 
-# Score ranges per class: 32 coarse bounds, each split in 32.
-FAN = 32
-SCORE_BUCKETS = FAN * FAN
-# Each class brings SCORE_BUCKETS bounds (8 KB) to a broadcast.
-MAX_BROADCAST_CLASSES = 1_000
+# Distinct scores which one task puts in order.
+RANGE_ROWS = 1 << 18
 
 
 def average_precision(
-    df: DataFrame, hit: str, score: str, group: str | None = None
+    df: DataFrame, hit: str, score: str, group: str | None = None, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """Average precision ``sum (R_n - R_(n-1)) P_n`` over the distinct scores.
 
-    Equal scores combine before the shuffle. Running counts are taken inside
-    score ranges (quantiles of the distinct scores of the class) and shifted by
-    the totals of the higher ranges, so no task sorts a whole class. A class
-    without positives scores 0.
+    Equal scores combine before the shuffle. The distinct scores of all classes are cut
+    into ranges of about ``range_rows`` in the order of class and falling score: a
+    class with many scores takes many ranges, small classes share one. Running counts
+    are taken inside a class's part of a range and shifted by the totals of its
+    earlier parts, so no task sorts a whole class. A class without positives scores 0.
     """
     keys = [F.lit("").alias("class")] if group is None else [ref(group).alias("class")]
     counts = (
@@ -179,42 +177,22 @@ def average_precision(
         .groupBy("class", "score")
         .agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("rows"))
     )
-    counts = stage(counts, "score-counts")  # bounds, totals and running counts read it
-    points = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
-    bounds = counts.groupBy("class").agg(
-        F.percentile_approx("score", points, 10 * SCORE_BUCKETS).alias("_bounds")
-    )
-    pinned = Pinned(bounds.withColumnRenamed("class", "_c"), limit=MAX_BROADCAST_CLASSES)
-    placed = counts.join(pinned.side, counts["class"].eqNullSafe(F.col("_c"))).drop("_c")
-    below = lambda b: b < F.col("score")
-    coarse_bounds = F.array(*[F.get("_bounds", i * FAN - 1) for i in range(1, FAN)])
-    placed = placed.withColumn("_coarse", F.size(F.filter(coarse_bounds, below)))
-    fine = F.size(F.filter(F.slice("_bounds", F.col("_coarse") * FAN + 1, FAN - 1), below))
-    # Never NULL: else the joins below would test, and so compute, the expression twice.
-    bucket = F.coalesce(F.col("_coarse") * FAN + fine, F.lit(0))
-    placed = placed.withColumn("_bucket", bucket).drop("_bounds", "_coarse")
-
-    totals = placed.groupBy("class", "_bucket").agg(
-        F.sum("hits").alias("_hits"), F.sum("rows").alias("_rows")
-    )
-    higher = Window.partitionBy("class").orderBy(F.desc("_bucket")).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    # SCORE_BUCKETS rows per class: as bounded as the score bounds are.
+    counts = stage(counts, "score-counts")
+    placed = score_ranges(counts, range_rows)
+    part = ["class", "range"]
+    totals = placed.groupBy(*part).agg(F.sum("hits").alias("_hits"), F.sum("rows").alias("_rows"))
+    # A row per range: a class's scores divided by ``range_rows``.
+    earlier = Window.partitionBy("class").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        F.col("class").alias("_c"),
-        F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_hits").over(higher), F.lit(0)).alias("_hits_above"),
-        F.coalesce(F.sum("_rows").over(higher), F.lit(0)).alias("_rows_above"),
+        *[F.col(c).alias(f"_{c}") for c in part],
+        F.coalesce(F.sum("_hits").over(earlier), F.lit(0)).alias("_hits_above"),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_above"),
     )
-    inside = Window.partitionBy("class", "_bucket").orderBy(F.desc("score"))
+    inside = Window.partitionBy(*part).orderBy(F.desc("score"))
     at_score = (
         placed.withColumn("_h", F.sum("hits").over(inside))
         .withColumn("_n", F.sum("rows").over(inside))
-        .join(
-            F.broadcast(offsets) if pinned.small else offsets,
-            placed["class"].eqNullSafe(F.col("_c")) & (placed["_bucket"] == F.col("_b")),
-        )
+        .join(offsets, F.col("class").eqNullSafe(F.col("_class")) & (F.col("range") == F.col("_range")))
     )
     precision = (F.col("_h") + F.col("_hits_above")) / (F.col("_n") + F.col("_rows_above"))
     result = at_score.groupBy("class").agg(
@@ -224,6 +202,17 @@ def average_precision(
     return result.drop("class") if group is None else result.withColumnRenamed("class", group)
 
 
+def score_ranges(counts: DataFrame, range_rows: int) -> DataFrame:
+    """``counts`` (class, score and more), stored with the number of its range in ``range``.
+
+    Ranges follow each other in the order of class and falling score. They are stored
+    because a range is the partition it was sorted into: a later run may cut elsewhere.
+    """
+    ranges = max(1, math.ceil(counts.count() / range_rows))
+    cut = counts.repartitionByRange(ranges, "class", F.desc("score"))
+    return stage(cut.withColumn("range", F.spark_partition_id()), "score-ranges")
+
+
 def macro_average_precision(df: DataFrame, group: str, hit: str, score: str) -> DataFrame:
     per_class = average_precision(df, hit, score, group)
     return per_class.agg(F.avg("average_precision").alias("macro_average_precision"))

@@ -73,6 +73,23 @@ def test_average_precision_per_class(spark):
     assert macro == pytest.approx(sum(got.values()) / 3)
 
 
+@pytest.mark.parametrize("range_rows", [40, 700, 1 << 18])
+def test_ranges_follow_the_distinct_scores(spark, range_rows):
+    rng = np.random.default_rng(11)
+    sizes = {"large": 4000, "other": 1500, None: 300, **{f"small{i}": 4 for i in range(60)}}
+    rows = [(c, int(rng.random() < 0.4), float(s)) for c, n in sizes.items() for s in rng.lognormal(0, 3, n).round(4)]
+    rows += [("large", 1, float("nan")), ("large", 0, float("inf")), ("other", 1, -0.0), ("other", 0, 0.0)]
+    df = spark.createDataFrame(rows, "c string, y int, s double").repartition(7)
+    got = {r["c"]: r["average_precision"] for r in M.average_precision(df, "y", "s", "c", range_rows).collect()}
+    assert got.keys() == sizes.keys()
+    for name in sizes:
+        part = [(h, 1e300 if s == np.inf else 1e301 if np.isnan(s) else s) for c, h, s in rows if c == name]
+        assert got[name] == pytest.approx(plain_ap(*zip(*part)))
+    counts = df.groupBy(F.col("c").alias("class"), F.col("s").alias("score")).count()
+    cut = M.score_ranges(counts, range_rows).groupBy("range").count().toPandas()
+    assert cut["count"].max() <= 3 * range_rows and len(cut) >= counts.count() // (2 * range_rows)
+
+
 def test_summary_has_a_row_per_model(spark):
     rows = M.union_all(
         [M.constant_rows(spark, "e", m, "test", {"accuracy": a, "f1": None}) for m, a in (("x", 0.5), ("y", 0.7))]
