@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+import csv
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsieve.functions.columns import normalise_name, ref, sentinels_to_null
+from flowsieve.session import scratch_path
 
 # Cell texts which stand for a missing value in the raw files.
 MISSING_TOKENS = (
@@ -28,7 +31,6 @@ UNSW_COLUMNS = (
     "ct_dst_ltm", "ct_src_ltm", "ct_src_dport_ltm", "ct_dst_sport_ltm", "ct_dst_src_ltm",
     "attack_cat", "Label",
 )
-HEADER_READERS = 16
 
 
 def missing_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -40,12 +42,6 @@ def text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def list_files(spark: SparkSession, path_glob: str) -> list[str]:
-    """Paths behind a glob; the file contents are not read."""
-    files = spark.read.format("binaryFile").load(path_glob).select("path")
-    return sorted(r["path"] for r in files.collect())
-
-
 def unique_names(cells: Sequence[str | None]) -> list[str]:
     """Header cells as column names: repeated ones get .1, .2 and so on."""
     names: list[str] = []
@@ -58,14 +54,38 @@ def unique_names(cells: Sequence[str | None]) -> list[str]:
     return names
 
 
-def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    first = (
-        spark.read.option("encoding", ENCODING)
-        .option("ignoreLeadingWhiteSpace", True)
-        .csv(path, header=False, inferSchema=False)
-        .first()
+def header_lines(spark: SparkSession, path_glob: str) -> DataFrame:
+    """(path, line): the first line of each file that is not blank, from one job.
+
+    Every file is a task that stops after its first line, so neither the number nor the
+    size of the files counts. The session of its own carries the read settings alone.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", "1")  # files share no partition,
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    lines = (
+        own.read.schema(text_schema(["line"]))
+        .option("encoding", ENCODING)
+        .option("multiLine", True)  # and a file is not split
+        .option("sep", "\u0001")
+        .option("quote", "")
+        .csv(path_glob)
+        .select(F.col("_metadata.file_path").alias("path"), "line")
     )
-    return tuple(unique_names(list(first))) if first is not None else ()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, line in enumerate(batch.column("line").to_pylist()):
+                if line and line.strip():
+                    yield batch.slice(at, 1)
+                    return
+
+    return lines.mapInArrow(first, text_schema(["path", "line"]))
+
+
+def header_cells(line: str) -> list[str]:
+    """The cells of a header line."""
+    return next(csv.reader([line.rstrip("\r")], skipinitialspace=True))
 
 
 def scan_headered(
@@ -78,22 +98,27 @@ def scan_headered(
     """All files of a glob as one all-text table, joined by column name.
 
     Files are grouped by their header, so the plan has one scan per distinct
-    header and not one per file. Names are normalised before the union; a
-    column a file lacks is NULL there. ``columns`` keeps only the named ones
-    which some file has. Missing-value cells become NULL in all columns, or only
-    in the ``text`` ones where the rest is parsed as numbers anyway.
+    header and not one per file; the headers come from one job. Names are
+    normalised before the union; a column a file lacks is NULL there. ``columns``
+    keeps only the named ones which some file has. Missing-value cells become NULL
+    in all columns, or only in the ``text`` ones where the rest is parsed as
+    numbers anyway.
     """
-    files = list_files(spark, path_glob)
-    if not files:
+    stored = scratch_path(spark, "headers")
+    header_lines(spark, path_glob).write.parquet(stored)
+    heads = spark.read.parquet(stored)  # with this session's settings
+    lines = heads.groupBy("line").agg(F.min("path").alias("first")).orderBy("first").collect()
+    if not lines:
         raise FileNotFoundError(path_glob)
-    with ThreadPoolExecutor(HEADER_READERS) as pool:
-        headers = list(pool.map(lambda f: read_header(spark, f), files))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path, header in zip(files, headers):
-        if header:
-            groups.setdefault(header, []).append(path)
+    for line, _ in lines:
+        groups.setdefault(tuple(unique_names(header_cells(line))), []).append(line)
     parts = []
-    for header, paths in groups.items():
+    for header, same in groups.items():
+        if len(groups) == 1:
+            paths = path_glob
+        else:
+            paths = [r["path"] for r in heads.filter(F.col("line").isin(same)).select("path").orderBy("path").collect()]
         df = (
             spark.read.schema(text_schema([f"c{i}" for i in range(len(header))]))
             .option("encoding", ENCODING)

@@ -79,6 +79,38 @@ def test_scan_joins_files_by_name(spark, tmp_path):
     assert plan.count("Relation [") == 2
 
 
+def test_headers_of_many_files_come_from_as_many_jobs_as_of_few(spark, tmp_path):
+    heads = ["a,b", "b, a", 'a,"x, y"', "\n  \na,b"]
+    for folder, files in (("few", 160), ("many", 320)):  # both above the number of paths that Spark lists in a job
+        (tmp_path / folder).mkdir()
+        for i in range(files):
+            head = heads[i % 4]
+            (tmp_path / folder / f"{i:03}.csv").write_text(f"{head}\r\n{i},-{i}\r\n" + "7,8\r\n" * (i % 3))
+        (tmp_path / folder / "empty.csv").write_text("")
+    tracker, jobs = spark.sparkContext.statusTracker(), {}
+    for folder in ("few", "many"):
+        spark.sparkContext.setJobGroup(f"headers-{folder}", folder)
+        df = flows_csv.scan_headered(spark, f"{tmp_path}/{folder}/*.csv")
+        jobs[folder] = len(tracker.getJobIdsForGroup(f"headers-{folder}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs["many"] == jobs["few"]
+    assert len(df.inputFiles()) == 320 and sorted(df.columns) == ["a", "b", "x,_y"]
+    rows = [tuple(r) for r in df.select("a", "b", "x,_y").collect()]
+    expected = []
+    for i in range(320):
+        for a, b in [(str(i), f"-{i}")] + [("7", "8")] * (i % 3):
+            expected.append({0: (a, b, None), 1: (b, a, None), 2: (a, None, b), 3: (a, b, None)}[i % 4])
+    assert sorted(rows, key=str) == sorted(expected, key=str)
+
+
+def test_header_lines_are_read_without_the_rest(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("a,b\n" + "1,2\n" * 500_000)
+    lines = flows_csv.header_lines(spark, f"{tmp_path}/*.csv")
+    assert lines.rdd.getNumPartitions() == 3
+    assert sorted(tuple(r) for r in lines.collect()) == [(f"file:{tmp_path}/{i}.csv", "a,b") for i in range(3)]
+
+
 def test_scan_without_files(spark, tmp_path):
     with pytest.raises(Exception):
         flows_csv.scan_headered(spark, f"{tmp_path}/none/*.csv")
