@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsieve.llm.common import map_batches, staged, texts, unit_draw
+from flowsieve.operators.metrics import RANGE_ROWS, score_ranges
+from flowsieve.session import local_frame
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # What the forest and the rule ensemble look at; shares, so that length alone is no anomaly.
@@ -152,7 +154,7 @@ def grow(rows: np.ndarray, trees: int, sample: int, seed: int) -> Forest:
 # Length is no fault of its own.
 FOREST_STATS = tuple(s for s in STATS if s != "log_words")
 TREES, TREE_ROWS = 200, 256
-#: Labelled rows used for calibration, drawn by hash: the bound of the fit.
+#: Labelled rows that ``labelled`` draws by hash at most.
 LABELLED_ROWS = 20_000
 #: How many times worse it is to reject a share of the good documents than to keep the same share of the bad.
 GOOD_WEIGHT = 10.0
@@ -173,6 +175,12 @@ def labelled(labels: DataFrame, rows: int = LABELLED_ROWS, seed: int = 5) -> Dat
     return one.orderBy("_draw", "doc_id").limit(rows).drop("_draw")
 
 
+def lowest_labels(labels: DataFrame) -> DataFrame:
+    """Every labelled document (doc_id, quality), by its lowest label."""
+    known = labels.where("quality is not null and doc_id is not null")
+    return known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
 def _drawn(docs: DataFrame, rows: int, seed: int) -> DataFrame:
     ids = _likely(docs.select("doc_id"), rows, seed).distinct()
     return ids.orderBy("_draw", "doc_id").limit(rows).drop("_draw")
@@ -186,23 +194,23 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> tuple[Forest, flo
     """The forest and the score from which on documents are rejected.
 
     The forest is grown from documents drawn by hash, as many as its trees look at
-    (``TREES`` x ``TREE_ROWS``). The threshold is calibrated on the labelled documents
-    that the base rules pass: it rejects the largest share of quality 0 less
-    ``GOOD_WEIGHT`` times the share of quality 1. Without labels of both kinds nothing
-    is rejected by score.
+    (``TREES`` x ``TREE_ROWS``: an isolation tree sees few rows by design). The threshold
+    is calibrated on every labelled document that the base rules pass: it rejects the
+    largest share of quality 0 less ``GOOD_WEIGHT`` times the share of quality 1. Without
+    labels of both kinds nothing is rejected by score.
     """
-    some = _drawn(docs, TREES * TREE_ROWS, seed).withColumn("drawn", F.lit(True))
-    both = staged(some.join(labelled(labels), "doc_id", "full"), "drawn")
-    # Both parts are bounded above, so their ids may be broadcast.
-    found = docs.join(F.broadcast(both.select("doc_id")), "doc_id", "left_semi")
-    stats = with_stats(found).dropDuplicates(["doc_id"]).join(both, "doc_id").orderBy("doc_id").toPandas()
-    sample = stats[stats["drawn"].notna()]
+    some = staged(_drawn(docs, TREES * TREE_ROWS, seed), "drawn")
+    # Bounded above, so the ids may be broadcast.
+    found = docs.join(F.broadcast(some), "doc_id", "left_semi")
+    sample = with_stats(found).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
     if not len(sample):
         return grow(np.zeros((0, len(FOREST_STATS))), 1, 0, seed), 1.0
     forest = grow(sample[list(FOREST_STATS)].to_numpy(float), TREES, TREE_ROWS, seed)
-    known = stats[stats["quality"].notna() & ~base_failed(stats["n_words"], stats["n_repeat_words"])]
-    scores = forest.score(known[list(FOREST_STATS)].to_numpy(float))
-    return forest, _threshold(scores, known["quality"].to_numpy() == 1)
+    # Texts are scored where they lie; only scores meet the labels.
+    scores = _judged(docs.select("doc_id", "text"), forest, 1.0, ("doc_id",), lambda batch: texts(batch))
+    one = scores.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("base_failed", "score")).alias("of"))
+    known = one.join(lowest_labels(labels), "doc_id").where("not of.base_failed")
+    return forest, calibrated(known.select(F.col("of.score").alias("score"), (F.col("quality") == 1).alias("good")))
 
 
 def _threshold(scores: np.ndarray, good: np.ndarray) -> float:
@@ -218,6 +226,34 @@ def _threshold(scores: np.ndarray, good: np.ndarray) -> float:
     return float(scores[order][best + 1 :].max(initial=0.0) + scores[order][best]) / 2
 
 
+def calibrated(known: DataFrame) -> float:
+    """``_threshold`` of a table (score, good) of any size.
+
+    Equal scores are counted together; the distinct scores are cut into stored ranges by
+    falling score, running counts inside a range are shifted by the totals before it.
+    """
+    good, bad = F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")
+    counts = staged(known.groupBy(F.lit("").alias("class"), "score").agg(good, bad), "label-scores")
+    totals = counts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    if not totals["good"] or not totals["bad"]:
+        return 1.0
+    placed = score_ranges(counts, RANGE_ROWS)
+    parts = sorted(placed.groupBy("range").agg(F.sum("good"), F.sum("bad")).collect())  # a row per RANGE_ROWS scores
+    before, above = [], [0, 0]
+    for number, g, b in parts:
+        before.append((number, *above))
+        above = [above[0] + g, above[1] + b]
+    offsets = local_frame(placed.sparkSession, before, "range int, good_above bigint, bad_above bigint")
+    inside = Window.partitionBy("range").orderBy(F.desc("score"))
+    running = placed.select("range", "score", F.sum("good").over(inside).alias("g"), F.sum("bad").over(inside).alias("b"))
+    gain = (F.col("b") + F.col("bad_above")) / F.lit(float(totals["bad"])) - F.lit(GOOD_WEIGHT) * (F.col("g") + F.col("good_above")) / F.lit(float(totals["good"]))
+    best = running.join(offsets, "range").select("score", gain.alias("gain")).orderBy(F.desc("gain"), F.desc("score")).first()
+    if best["gain"] <= 0:
+        return 1.0
+    below = counts.where(F.col("score") < best["score"]).agg(F.max("score")).first()[0]
+    return ((below or 0.0) + best["score"]) / 2
+
+
 def judge(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ("doc_id",), seed: int = 11) -> DataFrame:
     """Columns of ``keep``, COUNTS, base_failed, score and kept of every document.
 
