@@ -20,8 +20,8 @@ from flowsieve.llm.token_memo import Memo, encode, load
 
 # Pieces which one task packs: it bounds memory and the search for the best bin.
 GROUP_PIECES = 8192
-# Bytes of whole words a worker remembers: fewer than of cores, which make them cheaply.
-WORD_BYTES = 32 << 20
+# Bytes of whole words a worker remembers.
+WORD_BYTES = 160 << 20
 
 # ASCII signs that always form pieces of their own after a word (no apostrophe: contractions).
 _TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'

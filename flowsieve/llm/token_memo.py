@@ -1,8 +1,8 @@
 """Token ids of text pieces, in batches balanced by bytes, and a memo of short pieces.
 
 Corpora repeat their words. A worker keeps the result of pieces it has met, and
-only unknown pieces go to the tokenizer. The memo is bounded by bytes and starts
-afresh when it is full; pieces above 64 bytes (words of scripts without spaces,
+only unknown pieces go to the tokenizer. The memo is bounded by bytes: when it is
+half full its pieces become the old ones, of which those met again stay; pieces above 64 bytes (words of scripts without spaces,
 base64) are forgotten after their text, so memory does not depend on the corpus.
 """
 
@@ -13,7 +13,7 @@ import sys
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 96 << 20
 # Longest piece that is kept, and what an entry costs beside its two values.
 KEPT_BYTES, ENTRY_BYTES = 64, 104
 BATCH_BYTES = 1 << 18
@@ -52,16 +52,27 @@ class Memo(dict):
     """What ``make`` gives for each of the pieces (bytes) asked for.
 
     ``learn`` makes all of them ready to look up; ``trim``, called after each text,
-    forgets the long ones, and everything once ``room`` bytes are held.
+    forgets the long ones. New and old pieces hold half of ``room`` bytes each: when the
+    new ones are full they become the old ones, and what was old and not met since is forgotten.
     """
 
     def __init__(self, make: Callable[[Sequence[bytes]], Iterable[bytes]], room: int = MEMO_BYTES):
         super().__init__()
         self.make, self.room, self.held = make, room, 0
         self.passing: list[bytes] = []
+        self.old: dict[bytes, bytes] = {}
 
     def learn(self, pieces: Iterable[bytes]) -> None:
         new = [p for p in dict.fromkeys(pieces) if p not in self]
+        if self.old and new:
+            unknown = []
+            for piece in new:
+                if (value := self.old.pop(piece, None)) is None:
+                    unknown.append(piece)
+                else:
+                    self[piece] = value
+                    self.held += ENTRY_BYTES + sys.getsizeof(piece) + sys.getsizeof(value)
+            new = unknown
         if not new:
             return
         for piece, value in zip(new, self.make(new)):
@@ -75,6 +86,7 @@ class Memo(dict):
         for piece in self.passing:
             del self[piece]
         self.passing.clear()
-        if self.held > self.room:
+        if self.held > self.room // 2:
+            self.old = dict(self)
             self.clear()
             self.held = 0
