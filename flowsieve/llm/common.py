@@ -16,6 +16,17 @@ from flowsieve.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# What operators remember in a Python worker from task to task: by module, how to forget it.
+REMEMBERED: dict[str, Callable[[], object]] = {}
+
+
+def forget_others(module: str) -> None:
+    """Free what the operators of other modules left in this worker: it serves all of a job's stages."""
+    for name, forget in REMEMBERED.items():
+        if name != module:
+            forget()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared work folder and read back: lineage ends here."""
     path = scratch_path(df.sparkSession, name)
@@ -34,6 +45,7 @@ def map_batches(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch |
     arrow = to_arrow_schema(schema)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(run.__module__)
         for batch in batches:
             if batch.num_rows and (out := run(batch)) is not None and out.num_rows:
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(out.columns, arrow)], schema=arrow)

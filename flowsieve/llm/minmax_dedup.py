@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.llm.common import map_batches, staged, texts
+from flowsieve.llm.common import REMEMBERED, map_batches, staged, texts
 from flowsieve.llm.components import components
 
 #: Permutations (each gives two values), and values per band: 90 * 2 / 6 = 30 bands. At a
@@ -42,6 +42,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+REMEMBERED[__name__] = _hashes.clear
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

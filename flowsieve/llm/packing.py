@@ -7,6 +7,7 @@ import re
 import struct
 from collections.abc import Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.llm.common import map_batches, staged, texts
+from flowsieve.llm.common import REMEMBERED, map_batches, staged, texts
 from flowsieve.llm.token_memo import Memo, encode, load
 
 # Pieces which one task packs: it bounds memory and the search for the best bin.
@@ -74,13 +75,15 @@ def _words(path: str) -> Memo:
 
     def cut(word: bytes) -> tuple[bytes, bytes]:
         core = word.rstrip(_TAIL)
-        whole = core and len(core) < len(word) and not core[-1:].isalnum() and not ends(core.decode()[-1])
+        if len(core) == len(word):
+            return word, b""
+        whole = core and not core[-1:].isalnum() and not ends(core.decode()[-1])
         return (word, b"") if whole else (core, word[len(core):])
 
     def make(words):
         # A word is its core and the signs that trail it; few cores are new.
         split = [cut(w) for w in words]
-        cores.learn(part for pair in split for part in pair if part)
+        cores.learn(filter(None, chain.from_iterable(split)))
         made = [(cores[a] if a else b"") + (cores[b] if b else b"") for a, b in split]
         cores.trim()
         return made
@@ -88,6 +91,9 @@ def _words(path: str) -> Memo:
     return Memo(make, WORD_BYTES)
 
 
+REMEMBERED[__name__] = _words.cache_clear
+
+
 def word_ids(text: str, path: str) -> bytes:
     """Ids of a text as little-endian 32-bit numbers, for a tokenizer that drops white
     space and case. Words never influence each other there, so they are looked up one

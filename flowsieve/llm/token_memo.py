@@ -9,13 +9,13 @@ base64) are forgotten after their text, so memory does not depend on the corpus.
 from __future__ import annotations
 
 import os
-import sys
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import filterfalse
 
 MEMO_BYTES = 96 << 20
-# Longest piece that is kept, and what an entry costs beside its two values.
-KEPT_BYTES, ENTRY_BYTES = 64, 104
+# Longest piece that is kept, and what an entry costs beside the bytes of its two values.
+KEPT_BYTES, ENTRY_BYTES = 64, 170
 BATCH_BYTES = 1 << 18
 
 
@@ -63,7 +63,7 @@ class Memo(dict):
         self.old: dict[bytes, bytes] = {}
 
     def learn(self, pieces: Iterable[bytes]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self]
+        new = list(filterfalse(self.__contains__, dict.fromkeys(pieces)))
         if self.old and new:
             unknown = []
             for piece in new:
@@ -71,16 +71,17 @@ class Memo(dict):
                     unknown.append(piece)
                 else:
                     self[piece] = value
-                    self.held += ENTRY_BYTES + sys.getsizeof(piece) + sys.getsizeof(value)
+                    self.held += ENTRY_BYTES + len(piece) + len(value)
             new = unknown
         if not new:
             return
-        for piece, value in zip(new, self.make(new)):
-            self[piece] = value
+        made = list(self.make(new))
+        self.update(zip(new, made))
+        self.held += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, made))
+        for piece, value in zip(new, made):
             if len(piece) > KEPT_BYTES:
                 self.passing.append(piece)
-            else:
-                self.held += ENTRY_BYTES + sys.getsizeof(piece) + sys.getsizeof(value)
+                self.held -= ENTRY_BYTES + len(piece) + len(value)
 
     def trim(self) -> None:
         for piece in self.passing:

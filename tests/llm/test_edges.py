@@ -96,3 +96,32 @@ def test_odd_pages(spark):
     assert whole.count() == 5 and fixity.audit(whole, whole).count() == 0
     assert fixity.audit(whole, whole.limit(0)).count() == 5
     assert fixity.audit(whole.limit(0), whole.limit(0)).count() == 0
+
+
+def test_a_worker_keeps_one_operators_memo(spark):
+    """The next operator's stage runs in the same workers: what the last one remembered is freed."""
+    from flowsieve.llm import common, minmax_dedup, packing
+    from flowsieve.llm.queries import vocabulary
+
+    path = vocabulary("word_bpe_49k.json")
+    packing.word_ids("some words", path)
+    minmax_dedup.shingle_set("some words", 3)
+    common.forget_others(packing.__name__)
+    assert len(packing._words(path)) == 2 and not minmax_dedup._hashes
+    minmax_dedup.shingle_set("some words", 3)
+    common.forget_others(minmax_dedup.__name__)
+    assert not packing._words(path) and len(minmax_dedup._hashes) == 2
+
+    def held(batch):
+        import pyarrow as pa
+
+        minmax_dedup._hashes[b"left"] = 1
+        return pa.RecordBatch.from_arrays([pa.array([len(minmax_dedup._hashes)] * batch.num_rows)], ["n"])
+
+    from pyspark.sql import types as T
+
+    held.__module__ = "flowsieve.llm.quality_rules"
+    rows = spark.range(0, 64, 1, 8)
+    for _ in range(2):
+        found = common.map_batches(rows, held, [T.StructField("n", T.LongType())]).distinct().collect()
+        assert [r["n"] for r in found] == [1]
