@@ -8,10 +8,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowsieve.operators import models, neighbours
+from flowsieve.operators import isolation, models, neighbours
+from flowsieve.operators.isolation import IsolationForest, tree_samples
 from flowsieve.operators.models import Classifier, fit_forest
 from flowsieve.operators.scoring import scorer
 from flowsieve.operators.smote import smote
+from flowsieve.plans import queries
 
 FEATURES = ["x", "y"]
 
@@ -93,3 +95,44 @@ def test_routed_rows_leave_in_small_batches(monkeypatch):
     part = pd.DataFrame({"cls": 0, "ord": range(30), "x": list(rng.normal(size=(30, 4))), "cell": np.int32(0), "limit": np.nan})
     sizes = [len(out) for out in run(iter([part]))]
     assert sum(sizes) == 30 * 49 and max(sizes) <= 16
+
+
+def test_tree_samples_read_the_table_twice(spark):
+    """Hashes are counted once and the rows near the sample stored once; the sample is the same."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def seen(i):
+        read.add(1)
+        return i
+
+    plain = spark.range(0, 20_000, 1, 4).select("id", (F.col("id") % 89).cast("double").alias("x"))
+    # Rows of the first hashes are gone, as after a split by the same hash.
+    table = plain.filter(isolation.row_hash(7, ["id"]) > "4")
+    drawn, taken = tree_samples(table.select(seen("id").alias("id"), "x"), ["x"], ["id"], 5, 16, 7)
+    found = sorted(r["x"][0] for r in drawn.collect())
+    assert taken == 16 and read.value <= 2.5 * table.count()
+    assert found == sorted(r["x"] for r in isolation.take_n(table, 80, ["id"], 7).collect())
+
+
+def test_stored_hashes_sample_as_fresh_ones(spark, sf_dir, monkeypatch):
+    """A prepared table keeps its hashes, so sampling from it hashes only the rows near the sample."""
+    data = queries._shared_data(spark, sf_dir)
+    fresh = IsolationForest.fit(data.train, data.features, queries.LINEITEM_KEY, trees=3, sample_rows=16)
+    hashed = []
+    plain = isolation.row_hash
+    monkeypatch.setattr(isolation, "row_hash", lambda *a: hashed.append(a) or plain(*a))
+    train, order = data.hashed_train(queries.LINEITEM_KEY)
+    again = IsolationForest.fit(train, data.features, queries.LINEITEM_KEY, trees=3, sample_rows=16, order=order)
+    assert again == fresh and len(hashed) == 1  # of the drawn rows
+    assert train.columns == [*data.train.columns, order] and order not in data.table.columns
+    assert data.hashed_train(queries.LINEITEM_KEY, 7)[1] is None and data.hashed_train(None)[1] is None
+
+
+def test_training_rows_are_scored_once(spark, sf_dir, monkeypatch):
+    """The threshold and the codes of the training rows come from the same scores."""
+    scored = []
+    plain = IsolationForest.score_column
+    monkeypatch.setattr(IsolationForest, "score_column", lambda self, spark: scored.append(1) or plain(self, spark))
+    assert {r["split"]: r["near_level"] for r in queries.isolation_fit_predict(spark, sf_dir).collect()} == {"train": True, "test": True}
+    assert len(scored) == 1
