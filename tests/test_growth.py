@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowsieve.operators import isolation, models, neighbours
 from flowsieve.operators.isolation import IsolationForest, tree_samples
 from flowsieve.operators.models import Classifier, fit_forest
+from flowsieve.operators.quantiles import STRIDE, OrderStatistics, _thinned, quantiles
 from flowsieve.operators.scoring import scorer
 from flowsieve.operators.smote import smote
 from flowsieve.plans import queries
@@ -115,6 +116,28 @@ def test_tree_samples_read_the_table_twice(spark):
     assert found == sorted(r["x"] for r in isolation.take_n(table, 80, ["id"], 7).collect())
 
 
+def test_sketches_are_fed_steps_of_sorted_runs(spark, monkeypatch):
+    """A large table's sketches see one value in so many; quantiles stay exact, whatever the partitions."""
+    rng = np.random.default_rng(6)
+    n = 60_000
+    x = np.exp(rng.normal(size=n) * 3)
+    rows = pd.DataFrame({"id": range(n), "x": x, "few": np.where(np.arange(n) < 50, x, np.nan), "same": 2.5, "up": np.sort(x)})
+    plain = spark.createDataFrame(rows)
+    table = plain.select("id", "x", F.when(F.col("id") < 50, F.col("few")).alias("few"), "same", "up").withColumn("none", F.lit(None).cast("double"))
+    kept = _thinned(table.select("x", "same"), STRIDE).groupBy("col").agg(F.count("value").alias("kept"), F.sum("n").alias("n")).collect()
+    assert all(abs(r["kept"] * STRIDE - n) <= 32 * STRIDE and r["n"] == n for r in kept) and len(kept) == 2
+    fed = []
+    given = OrderStatistics.__init__.__globals__["_thinned"]
+    monkeypatch.setitem(OrderStatistics.__init__.__globals__, "_thinned", lambda *a: fed.append(a[1]) or given(*a))
+    probs = [0.0, 0.15, 0.5, 0.999, 1.0]
+    for parts in (1, 7, 300):  # runs of 200 rows at last
+        found = quantiles(table.repartition(parts, "id"), ["x", "few", "same", "up", "none"], probs)
+        for c, values in (("x", x), ("few", x[:50]), ("same", np.full(n, 2.5)), ("up", x)):
+            np.testing.assert_allclose(found[c], np.quantile(values, probs), rtol=1e-12, err_msg=f"{c} {parts}")
+        assert found["none"] == [None] * len(probs)
+    assert fed == [3, 3, 3]
+
+
 def test_stored_hashes_sample_as_fresh_ones(spark, sf_dir, monkeypatch):
     """A prepared table keeps its hashes, so sampling from it hashes only the rows near the sample."""
     data = queries._shared_data(spark, sf_dir)
