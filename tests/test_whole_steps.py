@@ -3,7 +3,8 @@
 from dataclasses import replace
 
 from flowsieve.operators.prep import FeaturePrep
-from flowsieve.plans import prepare, queries
+from flowsieve.operators.classes import class_counts
+from flowsieve.plans import experiments, prepare, queries
 
 
 def test_the_loaded_scaler_is_used(spark, sf_dir, monkeypatch):
@@ -27,3 +28,14 @@ def test_unscaled_rows_scale_to_the_table(spark, tmp_path):
     again = prepare.load_prepared(spark, str(tmp_path / "data")).scaled()
     names = data.table.columns
     assert sorted(map(repr, again.table.select(names).collect())) == sorted(map(repr, data.table.select(names).collect()))
+
+
+def test_boosted_smote_learns_from_every_training_row(spark, sf_dir, monkeypatch):
+    """No class is reduced before the others are raised to the largest."""
+    monkeypatch.setattr(experiments.training_base, "__defaults__", (None, None, 50))
+    seen = []
+    given = experiments.fit_boosted
+    monkeypatch.setattr(experiments, "fit_boosted", lambda df, *a, **k: seen.append(df) or given(df, *a, **k, rounds=2, depth=3))
+    assert queries.boosted_smote(spark, sf_dir).count() == 3
+    largest = class_counts(queries._class_data(spark, sf_dir).train, "label").agg({"n": "max"}).first()[0]
+    assert {r["n"] for r in class_counts(seen[0], "label").collect()} == {largest} and largest > 50
